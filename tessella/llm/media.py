@@ -111,10 +111,14 @@ def read_png(media: bytes) -> np.ndarray:
         raise ValueError("not a PNG")
     at, head, parts, ended = 8, None, [], False
     while at < len(media) and not ended:
+        if at + 12 > len(media):
+            raise ValueError("cut-off chunk")
         size, kind = struct.unpack(">I4s", media[at : at + 8])
         body = media[at + 8 : at + 8 + size]
+        if at + 12 + size > len(media):
+            raise ValueError("cut-off chunk")
         (crc,) = struct.unpack(">I", media[at + 8 + size : at + 12 + size])
-        if len(body) != size or zlib.crc32(body, zlib.crc32(kind)) != crc:
+        if zlib.crc32(body, zlib.crc32(kind)) != crc:
             raise ValueError(f"checksum of chunk {kind!r} fails")
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
