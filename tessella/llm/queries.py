@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, language, media
+from tessella.llm import bpe, language, media, simhash
 from tessella.llm.common import fold
 from tessella.session import table
 
@@ -36,3 +36,9 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs, where=fold("doc_id", 5) != 0)
     rows = language.identify(docs, model)
     return rows.withColumn("held_out", fold("doc_id", 5) == 0)
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.groups(table(spark, sf_dir, "documents"), shingle=4, words=1, radius=4)
+    return rows.select("doc_id", simhash.hex_of(rows["fp"]).alias("fingerprint"), "component_id")
