@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, language, media, simhash
+from tessella.llm import bpe, language, media, simhash, toxicity
 from tessella.llm.common import fold
 from tessella.session import table
 
@@ -42,3 +42,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.groups(table(spark, sf_dir, "documents"), shingle=4, words=1, radius=4)
     return rows.select("doc_id", simhash.hex_of(rows["fp"]).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=fold("doc_id", 3) != 1)
+    return toxicity.score(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
