@@ -1,8 +1,8 @@
 """Toxicity: a counterfactual-regularised classifier over words and word beginnings.
 
 Method: logistic regression on the presence of words and of their first 4 to 8 letters (of longer words only). For every labelled
-text that names a group of people, a counterfactual twin swaps each identity term for the next of its kind; the
-loss adds ``pull`` times the squared difference of the two scores' log-odds. So a group's name cannot carry
+text that names a group of people, two counterfactual twins swap each identity term, one for the next of its kind
+and one for the kind's neutral word; the loss adds ``pull`` times the squared differences of the log-odds. So a group's name cannot carry
 weight by itself, however often it stands in toxic training texts, and neutral mentions stay low.
 Weights are not negative: a text becomes toxic by what it says, and does not become clean by its length.
 
@@ -30,33 +30,36 @@ from tessella.llm.common import map_rows
 MAX_ROWS, MAX_FEATURES, THRESHOLD, SEED = 20_000, 1000, 0.7, 17
 PULL, RIDGE, STEPS = 10.0, 1e-4, 400
 
-#: Identity terms by kind and language; a term swaps with the next of its line.
+#: Identity terms by kind and language, after the neutral word of the kind.
 IDENTITY_TERMS = """
-women men
-woman man
-girls boys
-muslim christian jewish hindu buddhist atheist
-muslims christians jews hindus buddhists atheists
-black white asian latino african european
-gay straight lesbian bisexual transgender
-american mexican chinese indian german french
-immigrants locals refugees citizens
-disabled deaf blind elderly young
-frauen männer
-muslime christen juden
-schwarze weiße
-schwule lesben
-flüchtlinge einheimische
-femmes hommes
-musulmans chrétiens juifs
-noirs blancs
-mujeres hombres
-musulmanes cristianos judíos
-negros blancos
+people: women men
+person: woman man
+children: girls boys
+believer: muslim christian jewish hindu buddhist atheist
+believers: muslims christians jews hindus buddhists atheists
+human: black white asian latino african european
+human: gay straight lesbian bisexual transgender
+human: american mexican chinese indian german french
+people: immigrants locals refugees citizens
+human: disabled deaf blind elderly young
+menschen: frauen männer
+gläubige: muslime christen juden
+menschen: schwarze weiße
+menschen: schwule lesben
+menschen: flüchtlinge einheimische
+personnes: femmes hommes
+croyants: musulmans chrétiens juifs
+personnes: noirs blancs
+personas: mujeres hombres
+creyentes: musulmanes cristianos judíos
+personas: negros blancos
 """
+#: Each term's counterfactuals: the next of its kind, and the kind's neutral word.
 SWAPS = {
-    a: b for line in IDENTITY_TERMS.split("\n") if (t := line.split()) for a, b in zip(t, t[1:] + t[:1])
-}
+    a: (b, neutral)
+    for neutral, terms in (line.split(": ") for line in IDENTITY_TERMS.strip().split("\n"))
+    for a, b in zip(terms.split(), terms.split()[1:] + terms.split()[:1])
+}
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6, 7, 8)
 
@@ -74,9 +77,11 @@ def features(found: set[str]) -> set[str]:
     return out
 
 
-def swapped(found: set[str]) -> set[str] | None:
-    """The words of the counterfactual twin; None if no identity term occurs."""
-    return {SWAPS.get(w, w) for w in found} if not SWAPS.keys().isdisjoint(found) else None
+def swapped(found: set[str], which: int = 0) -> set[str] | None:
+    """The words of a counterfactual twin, each identity term swapped (see SWAPS); None if there is no such term."""
+    if SWAPS.keys().isdisjoint(found):
+        return None
+    return {SWAPS[w][which] if w in SWAPS else w for w in found}
 
 
 class Model:
@@ -101,16 +106,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def descend(rows: list[np.ndarray], twins: list[np.ndarray | None], labels: np.ndarray, n_features: int,
+def descend(rows: list[np.ndarray], twins: list[list[np.ndarray]], labels: np.ndarray, n_features: int,
             pull: float = PULL, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise log loss + ridge + pull x the mean squared log-odds change of the twins."""
     n = len(rows)
     at = np.repeat(np.arange(n), [len(r) for r in rows])
     cols = np.concatenate(rows) if len(at) else np.zeros(0, np.int64)
-    pairs = [i for i, t in enumerate(twins) if t is not None]
+    pairs = [(i, t) for i, own in enumerate(twins) for t in own]
     d_at, d_cols, d_sign = [], [], []
-    for k, i in enumerate(pairs):
-        for side, sign in ((rows[i], 1.0), (twins[i], -1.0)):
+    for k, (i, twin) in enumerate(pairs):
+        for side, sign in ((rows[i], 1.0), (twin, -1.0)):
             d_at += [k] * len(side)
             d_cols += side.tolist()
             d_sign += [sign] * len(side)
@@ -186,22 +191,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model({}, math.log(n1 / n0))
     at = {f: i for i, f in enumerate(chosen)}
 
+    def known(found: set[str]) -> list[int]:
+        return sorted(at[f] for f in features(found) if f in at)
+
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, twin = [], []
+            own, twins = [], []
             for t in batch.column(0).to_pylist():
                 found = words(t)
-                other = swapped(found)
-                own.append(sorted(at[f] for f in features(found) if f in at))
-                twin.append(None if other is None else sorted(at[f] for f in features(other) if f in at))
+                others = [x for which in (0, 1) if (x := swapped(found, which)) is not None]
+                own.append(known(found))
+                twins.append([known(x) for x in others])
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array(twin, kind), batch.column(1)], ["own", "twin", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array(twins, pa.list_(kind)), batch.column(1)], ["own", "twins", "y"])
 
-    held = rows.mapInArrow(present, "own array<int>, twin array<int>, y int").toArrow().to_pydict()
-    order = sorted(range(len(held["y"])), key=lambda i: (held["own"][i], held["twin"][i] or [], held["y"][i]))
-    arrays = lambda x: None if x is None else np.array(x, np.int64)
+    held = rows.mapInArrow(present, "own array<int>, twins array<array<int>>, y int").toArrow().to_pydict()
+    order = sorted(range(len(held["y"])), key=lambda i: (held["own"][i], held["twins"][i], held["y"][i]))
+    arrays = lambda x: np.array(x, np.int64)
     w, b = descend(
-        [arrays(held["own"][i]) for i in order], [arrays(held["twin"][i]) for i in order],
+        [arrays(held["own"][i]) for i in order], [[arrays(t) for t in held["twins"][i]] for i in order],
         np.array([held["y"][i] for i in order], float), len(chosen), pull,
     )
     return Model({f: float(x) for f, x in zip(chosen, w) if x > 0}, b)

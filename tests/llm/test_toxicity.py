@@ -44,3 +44,4 @@ def test_edges(spark):
     assert {r.predicted for r in toxicity.score(df, none).collect()} == {0}
     assert toxicity.score(df.limit(0), model).count() == 0
     assert toxicity.features({"abcde"}) == {"abcde", "^abcd"} and set(toxicity.Model({"^abcd": 1.0, "x": 1.0}, 0.0).present("abcde abcd X")) == {"^abcd", "x"} and toxicity.swapped({"men", "x"}) == {"women", "x"}
+    assert toxicity.swapped({"men", "x"}, 1) == {"people", "x"} and toxicity.swapped({"x"}) is None
