@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, language, media, simhash, toxicity
+from tessella.llm import bpe, language, media, mixing, simhash, toxicity
 from tessella.llm.common import fold
 from tessella.session import table
 
@@ -49,3 +49,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=fold("doc_id", 3) != 1)
     return toxicity.score(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
+
+
+#: Of the tokens there are, the part that the mix is to hold.
+MIX_TOTAL = 0.6
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_TOTAL)
+
+
+ORACLES["op5_mixing"] = mixing.oracle(MIX_TOTAL)

@@ -1,0 +1,26 @@
+"""Compares a query with its DuckDB oracle as the driver does: rows and columns without order."""
+
+import os
+
+import duckdb
+
+
+def rows_of(frame):
+    frame = frame[sorted(frame.columns)]
+    cell = lambda x: None if x is None or x != x else round(x, 6) if isinstance(x, float) else x
+    return list(frame.columns), sorted((tuple(cell(x) for x in r) for r in frame.itertuples(index=False)), key=repr)
+
+
+def duck(sql, sf):
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{sf}/{f}'")
+    return con.execute(sql).df()
+
+
+def same(spark, queries, oracles, name, sf):
+    got, want = rows_of(queries[name](spark, sf).toPandas()), rows_of(duck(oracles[name], sf))
+    assert got[0] == want[0], name
+    assert len(got[1]) == len(want[1]), (name, len(got[1]), len(want[1]))
+    for a, b in zip(got[1], want[1]):
+        assert a == b, (name, a, b)
