@@ -191,19 +191,19 @@ def _row(bpe: Bpe):
 
 def _ids_row(bpe: Bpe):
     def row(key: int | None, text: str | None) -> tuple:
-        ids = bpe.encode(text)
-        return key, ids, bpe.decode(ids)
+        n, ids, decoded = bpe.text_forms(text)
+        return key, n, [int(i) for i in ids.split()], decoded
 
     return row
 
 
 def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
-    """``key``, ``ids array<int>`` and ``decoded string`` for every row of ``df``.
+    """``key``, ``n_tokens``, ``ids array<int>`` and ``decoded string`` for every row of ``df``.
 
     Null texts count as empty and give no ids; null keys and repeated rows stay; an empty table gives an empty
     table; other columns are not read.
     """
-    return _map(df, path, key, text, cache_words, _ids_row, "doc_id long, ids array<int>, decoded string")
+    return _map(df, path, key, text, cache_words, _ids_row, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:

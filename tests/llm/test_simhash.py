@@ -95,6 +95,51 @@ def test_close_pairs():
         assert got == {(a, b) for a in range(150) for b in range(150) if dist(a, b) <= radius}
 
 
+@pytest.mark.parametrize("large", [3, 512])
+def test_large_groups(spark, monkeypatch, large):
+    """Groups over several words and both ways of comparing give the components of brute force."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "LARGE_STEP", 7)
+    rng = np.random.default_rng(large)
+    fps = rng.integers(0, 2**63, (700, 2), dtype=np.int64).view(np.uint64)
+    for i in range(1, 650):  # trees of near copies, and a third without any
+        if i % 3:
+            fps[i] = fps[rng.integers(0, i)]
+            for b in rng.integers(0, 128, 5):
+                fps[i, b // 64] ^= np.uint64(1 << int(b % 64))
+    whole = [int(a) << 64 | int(b) for a, b in fps]
+    want = brute_components(whole, 8)
+    keys, none = np.zeros(700, np.int64), np.full(700, -1, np.int8)
+    assert simhash._groups(fps, keys, none, none, 8).tolist() == want
+    half = (np.arange(700) >= 300).astype(np.int8)
+    both = simhash._groups(fps, keys, half, np.ones(700, np.int8), 8)
+    pairs = simhash._Union(700)
+    for i in range(300):
+        for j in range(300, 700):
+            if bin(whole[i] ^ whole[j]).count("1") <= 8:
+                pairs.add(np.array([i]), np.array([j]))
+    assert both.tolist() == pairs.root.tolist()
+
+
+def test_keep_one(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choices(words, k=300) for _ in range(30)]
+    rows, group = [], []
+    for i in range(200):
+        text = list(base[i % 30])
+        for _ in range(rng.randrange(4)):  # at most 15 of 296 shingles change on either side
+            text[rng.randrange(300)] = "changed"
+        rows.append((1000 - i, " ".join(text), i % 30))
+    rows += [(None, None, None), (None, "", None), (5000, rows[0][1], 0), (5000, rows[0][1], 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root long")
+    kept = simhash.keep_one(df).collect()
+    assert sorted(r.root for r in kept if r.root is not None) == list(range(30))
+    assert len(kept) == 31 and kept[0].__fields__ == df.columns
+    assert all(r.doc_id == min(x[0] for x in rows[:200] if x[2] == r.root) for r in kept if r.root is not None)
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_edges(spark):
     df = spark.createDataFrame(
         [(7, None, "a"), (3, "", "b"), (None, " ", "c"), (5, "same text here now", "d"), (5, "same text here now", "d"), (9, "b " * 100_000, "e")],
