@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import bpe, language, media, mixing, simhash, toxicity
+from tessella.llm import bpe, chat, language, licenses, media, mixing, simhash, toxicity
 from tessella.llm.common import fold
 from tessella.session import table
 
@@ -61,3 +62,41 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_mixing"] = mixing.oracle(MIX_TOTAL)
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(table(spark, sf_dir, "conversations").select(*columns).unionByName(more))
+    read = chat.parse_chats(chats).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op10_chat"] = r"""
+with t0 as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t as (select *, lag(role) over (partition by conv_id order by turn nulls first, role, text) is distinct from role as opens from t0)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn nulls first, role, text)) as loss_sha256,
+  sum(2 * length(text) - length(regexp_replace(text, '[\\#<]', '', 'g')) + 8
+    + case when opens then 2 * length(role) - length(regexp_replace(role, '[\\#<]', '', 'g')) + 9 else 0 end)::bigint as formatted_chars
+from t group by conv_id"""
