@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat, language, licenses, media, mixing, simhash, toxicity
+from tessella.llm import bpe, chat, language, licenses, media, mixing, packing, simhash, topk, toxicity
 from tessella.llm.common import fold
 from tessella.session import table
 
@@ -100,3 +100,27 @@ select conv_id, count(*)::bigint as n_turns,
   sum(2 * length(text) - length(regexp_replace(text, '[\\#<]', '', 'g')) + 8
     + case when opens then 2 * length(role) - length(regexp_replace(role, '[\\#<]', '', 'g')) + 9 else 0 end)::bigint as formatted_chars
 from t group by conv_id"""
+
+
+@query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.quantized(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, F.col("vec_id") % 100 == 0, k=10)
+
+
+ORACLES["op3_topk"] = """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
+select query_id, rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p) where rank <= 10"""
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_texts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return packed.withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
