@@ -1,6 +1,8 @@
-"""Registry of the analytics queries and their DuckDB oracles."""
+"""All analytics queries and their DuckDB oracles; importing the modules registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessella.plans import agent_queries, match_queries, retrieval_queries, text_queries, value_queries  # noqa: F401
+from tessella.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
