@@ -1,14 +1,14 @@
 import random
 
 from tessella.llm import chat, queries
-from tests.llm.oracle import same
+from tests.oracle import same
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
 def test_query_matches_sql(spark):
-    same(spark, queries.QUERIES, queries.ORACLES, "op10_chat", SF)
+    same(spark, queries.QUERIES["op10_chat"], queries.ORACLES["op10_chat"], SF)
 
 
 def test_round_trip_of_control_strings(spark):

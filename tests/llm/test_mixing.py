@@ -3,13 +3,13 @@ import random
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing, queries
-from tests.llm.oracle import same
+from tests.oracle import same
 
 SF = "/root/testdata/sf0.01"
 
 
 def test_query_matches_sql(spark):
-    same(spark, queries.QUERIES, queries.ORACLES, "op5_mixing", SF)
+    same(spark, queries.QUERIES["op5_mixing"], queries.ORACLES["op5_mixing"], SF)
 
 
 def fill(total, kids):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import queries, topk
-from tests.llm.oracle import same
+from tests.oracle import same
 
 SF = "/root/testdata/sf0.01"
 
@@ -17,7 +17,7 @@ def brute(rows, k=10):
 
 
 def test_query_matches_sql(spark):
-    same(spark, queries.QUERIES, queries.ORACLES, "op3_topk", SF)
+    same(spark, queries.QUERIES["op3_topk"], queries.ORACLES["op3_topk"], SF)
 
 
 @pytest.mark.parametrize("bucket_rows,query_rows", [(40, 3), (10_000, 100)])
