@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessella.functions.text import canonical_term
 
@@ -37,12 +38,12 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(strict, _ratio(both, left), _ratio(both, right), _ratio(left, right))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _strict(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([strict_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 

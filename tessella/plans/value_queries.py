@@ -1 +1,283 @@
+"""Scalar functions, value shapes, grounding and JSON records, over strings built from the tables."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import similarity as M
+from tessella.functions import text as T
+from tessella.functions import values as V
+from tessella.operators import grounding as G
+from tessella.plans.registry import query
+from tessella.sources import seams
+from tessella.session import table
+
+_ALIAS_TERMS = sorted((a for a in T.ALIASES if " " in a), key=len, reverse=True)
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def sql_map(values: dict) -> str:
+    return "map {" + ", ".join(f"{sql_text(k)}: {sql_text(v) if isinstance(v, str) else repr(float(v))}" for k, v in values.items()) + "}"
+
+
+def sql_slug(x: str) -> str:
+    body = f"regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+    return f"case when {body} = '' then 'unknown' else {body} end"
+
+
+def sql_normalize(x: str) -> str:
+    plain = rf"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+    return f"array_to_string(list_transform(string_split({plain}, ' '), lambda w: coalesce({sql_map(T.SPELLINGS)}[w], w)), ' ')"
+
+
+def sql_canonical(x: str) -> str:
+    out = sql_normalize(x)
+    for a in _ALIAS_TERMS:
+        out = rf"regexp_replace({out}, '\b{a}\b', {sql_text(T.ALIASES[a])}, 'g')"
+    single = {a: b for a, b in T.ALIASES.items() if " " not in a and " " not in b}
+    out = f"array_to_string(list_transform(string_split({out}, ' '), lambda w: coalesce({sql_map(single)}[w], w)), ' ')"
+    return f"coalesce({sql_map(T.ALIASES)}[{sql_normalize(x)}], {out})"
+
+
+@query(
+    f"select p_partkey, {sql_slug('p_name')} as name_slug, {sql_slug("'[' || p_brand || '] ' || p_type || '!'")} as type_slug, {sql_slug("repeat('-', (p_size % 3)::int)")} as dash_slug from part"
+)
+def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    odd = F.concat(F.lit("["), "p_brand", F.lit("] "), "p_type", F.lit("!"))
+    return p.select("p_partkey", T.slug(F.col("p_name")).alias("name_slug"), T.slug(odd).alias("type_slug"), T.slug(F.repeat(F.lit("-"), F.col("p_size") % 3)).alias("dash_slug"))
+
+
+#: Terms that the part table's rows are given in turn.
+_TERMS = [
+    "IgAN", "IgA nephropathy (adults)", "UC", "Tumour, oedema", "United States", "ex-US", "mAb", "new molecular entities", "China & Europe", "worldwide",
+    "Alpha-1 antitrypsin deficiency", "not specified", "TBD", "N/A", "", "The Group", "Company", "Acme group", "Acme", "paediatric SLE",
+]
+_TERM_SQL = "[" + ", ".join(map(sql_text, _TERMS)) + f"][1 + p_partkey % {len(_TERMS)}]"
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = (F.col("p_partkey") % len(_TERMS)).cast("int")
+    return table(spark, sf_dir, "part").withColumn("term", F.get(F.array(*map(F.lit, _TERMS)), at))
+
+
+@query(
+    f"""select p_partkey, {sql_normalize('term')} as normal, {sql_canonical('term')} as canonical, {sql_canonical("term || ' ' || p_name")} as with_name,
+      {sql_canonical('term')} in ({', '.join(map(sql_text, T.NULL_SENTINELS))}) as is_null_term,
+      case when term <> '' and {sql_canonical('term')} in ('company', 'the company', 'the group', 'acme', 'acme group') then 'Acme' else term end as folded
+    from (select *, {_TERM_SQL} as term from part)"""
+)
+def canonical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("term")
+    return terms(spark, sf_dir).select(
+        "p_partkey", T.normalize_text(t).alias("normal"), T.canonical_term(t).alias("canonical"), T.canonical_term(F.concat_ws(" ", t, "p_name")).alias("with_name"),
+        T.is_null_sentinel(t).alias("is_null_term"), T.fold_self_reference(t, F.lit("Acme")).alias("folded"),
+    )
+
+
+@query(
+    """with a as (select s_suppkey, ['FDA', 'EMA', 'PMDA', 'MHLW', 'NMPA', null][1 + s_suppkey % 6] as p, ['PMDA', 'EMA', null, 'MHLW'][1 + s_suppkey % 4] as g,
+        ['P2a', '2b', 'P1/2', 'approved', '3'][1 + s_suppkey % 5] as ph, ['revenue', 'growth_rate', 'patient_count', 'other'][1 + s_suppkey % 4] as m from supplier)
+    select s_suppkey, case when p in ('PMDA', 'MHLW') then 'JP' else p end as agency,
+      (case when p in ('PMDA', 'MHLW') then 'JP' else p end) is not distinct from (case when g in ('PMDA', 'MHLW') then 'JP' else g end) as same_agency,
+      regexp_replace(ph, '^(P?[0-9])[ab]$', '\\1') as phase, case m when 'growth_rate' then 'percent' when 'patient_count' then 'count' else 'currency' end as dimension from a"""
+)
+def agency_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("s_suppkey") % len(xs)).cast("int"))
+    p, g = pick(["FDA", "EMA", "PMDA", "MHLW", "NMPA", None]), pick(["PMDA", "EMA", None, "MHLW"])
+    phase, metric = pick(["P2a", "2b", "P1/2", "approved", "3"]), pick(["revenue", "growth_rate", "patient_count", "other"])
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", T.agency_class(p).alias("agency"), T.agency_class(p).eqNullSafe(T.agency_class(g)).alias("same_agency"),
+        T.collapse_phase(phase).alias("phase"), T.metric_dimension(metric).alias("dimension"),
+    )
+
+
+_UNITS = ["USD billion", "million", "EUR mn", "", "thousand patients", "USD", "k", "billion USD million"]
+_SCALE_SQL = "case {0} when 0 then 1e9 when 1 then 1e6 when 2 then 1e6 when 4 then 1e3 when 6 then 1e3 when 7 then 1e9 else 1.0 end"
+
+
+@query(
+    f"""with v as (select l_orderkey, l_linenumber, l_extendedprice as a, (l_orderkey % 8)::int as ua, (l_linenumber % 8)::int as ub,
+      l_extendedprice * (case when l_quantity > 25 then 1.01 else 1.5 end) as b0 from lineitem),
+    w as (select *, {_SCALE_SQL.format('ua')} as sa, {_SCALE_SQL.format('ub')} as sb, case when ua % 3 = 0 then b0 * {_SCALE_SQL.format('ua')} / {_SCALE_SQL.format('ub')} else b0 end as b from v)
+    select l_orderkey, l_linenumber, sa as scale, abs(a * sa - b * sb) <= 0.02 * greatest(abs(a * sa), abs(b * sb)) as same from w"""
+)
+def values_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = lambda i: F.get(F.array(*map(F.lit, _UNITS)), i)
+    ua, ub = (F.col("l_orderkey") % 8).cast("int"), (F.col("l_linenumber") % 8).cast("int")
+    a, b0 = F.col("l_extendedprice"), F.col("l_extendedprice") * F.when(F.col("l_quantity") > 25, 1.01).otherwise(1.5)
+    b = F.when(ua % 3 == 0, b0 * T.unit_scale(unit(ua)) / T.unit_scale(unit(ub))).otherwise(b0)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", T.unit_scale(unit(ua)).alias("scale"), T.values_match(a, unit(ua), b, unit(ub)).alias("same")
+    )
+
+
+#: Forms of values; {n} is a number of the row.
+_SHAPES = [
+    ("USD {n}m", "currency"), ("{n} bn", "currency"), ("$1,{k} million", "currency"), ("EUR 1 {k} mn", "currency"),
+    ("+{d}% USD / -1% cc", "percent"), ("{d}%", "percent"), ("Phase III trial", "phase"), ("P-II", "phase"), ("P3", "phase"), ("completed", "ctgov_status"),
+    ("AP", "approved"), ("TA", "approved"), ("approved indication for PV", "indication_present"), ("Approval granted", "approved"),
+    ("Submission made", "pending_filing"), ("{d} NMEs", "count"), ("eight assets", "count"), ("no known shape here", None),
+]
+
+
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value string for each part, and one of another form."""
+    n = F.col("p_partkey")
+
+    def form(i: F.Column) -> F.Column:
+        text = F.get(F.array(*[F.lit(s) for s, _ in _SHAPES]), i.cast("int"))
+        for mark, value in (("{n}", n), ("{k}", F.lpad((n % 1000).cast("string"), 3, "0")), ("{d}", n % 10)):
+            text = F.replace(text, F.lit(mark), value.cast("string"))
+        return text
+
+    count = len(_SHAPES)
+    return table(spark, sf_dir, "part").select("p_partkey", form(n % count).alias("a"), form((n + F.floor(n / count) % 3) % count).alias("b"))
+
+
+_FORM_SQL = (
+    "replace(replace(replace([" + ", ".join(sql_text(s) for s, _ in _SHAPES) + "][i + 1], '{n}', p_partkey::varchar), "
+    "'{k}', lpad((p_partkey % 1000)::varchar, 3, '0')), '{d}', (p_partkey % 10)::varchar)"
+)
+_KEY_SQL = (
+    "case {0} when 4 then case when p_partkey % 10 = 0 then 'USD=0.000000;cc=-1.000000' else 'USD=' || (p_partkey % 10) || '.000000;cc=-1.000000' end when 5 then '__partial_pct__0=' || (p_partkey % 10) || '.000000' "
+    "when 6 then '3' when 7 then '2' when 8 then '3' when 9 then 'completed' when 10 then 'approved' when 11 then 'tentative_approval' when 12 then 'indication_present' "
+    "when 13 then 'approved' when 14 then 'pending_filing' when 15 then (p_partkey % 10)::varchar when 16 then '8' end"
+)
+_AMOUNT_SQL = "case {0} when 0 then p_partkey * 1e6 when 1 then p_partkey * 1e9 when 2 then (1000 + p_partkey % 1000) * 1e6 when 3 then (1000 + p_partkey % 1000) * 1e6 end"
+_N = len(_SHAPES)
+_SHAPE_SQL = "[" + ", ".join("null" if s is None else sql_text(s) for _, s in _SHAPES) + "][({0}) + 1]"
+_SHAPED = f"""s as (select p_partkey, (p_partkey % {_N})::int as i, ((p_partkey + (p_partkey // {_N}) % 3) % {_N})::int as j from part)"""
+
+
+@query(
+    f"with {_SHAPED} select p_partkey, {_FORM_SQL} as a, {_SHAPE_SQL.format('i')} as shape, {_KEY_SQL.format('i')} as key, {_AMOUNT_SQL.format('i')}::double as amount from s"
+)
+def classify_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = V.classify(F.col("a"))
+    return shaped(spark, sf_dir).select("p_partkey", "a", v["shape"].alias("shape"), v["key"].alias("key"), v["amount"].alias("amount"))
+
+
+@query(
+    f"""with {_SHAPED}, t as (select p_partkey, i, j, {_SHAPE_SQL.format('i')} as si, {_SHAPE_SQL.format('j')} as sj, {_KEY_SQL.format('i')} as ki, {_KEY_SQL.format('j')} as kj,
+        {_AMOUNT_SQL.format('i')}::double as ai, {_AMOUNT_SQL.format('j')}::double as aj, case i when 0 then 'usd' when 2 then '$' when 3 then 'eur' end as ci, case j when 0 then 'usd' when 2 then '$' when 3 then 'eur' end as cj from s)
+    select p_partkey, coalesce(si = sj and case when si = 'currency' then abs(ai - aj) <= 1e-6 * greatest(abs(ai), abs(aj), 1) and coalesce(ci = cj, true) else ki = kj end, false) as same from t"""
+)
+def value_match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shaped(spark, sf_dir).select("p_partkey", V.value_match(V.classify(F.col("a")), V.classify(F.col("b"))).alias("same"))
+
+
+#: Cited lines and facts for grounding, in turn.
+_CITED = [
+    "Phase 3 trial of ABC-123 in ulcerative colitis, approved in Japan", "FDA granted priority review; lupus erythematosus study, p-ii", "revenue of 1,250 million worldwide", "2028 3 submitted in Europe",
+    "complete response letter received", "the us approval for colitis",
+]
+_FACTS = [("abc-123", "ulcerative colitis", "JP", "P3"), ("xyz", "systemic lupus erythematosus", "US", "P2"), ("abc-123", "asthma", "EU", "P3"), ("abc", "UC", "CN", "approved")]
+
+
+def facts_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey")
+    fact = F.get(F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(f, ("asset_id", "indication", "region", "stage"))]) for f in _FACTS]), (n % 4).cast("int"))
+    cited = F.get(F.array(*map(F.lit, _CITED)), (n % 6).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", fact.alias("f"), F.concat(cited, F.lit("\n"), "p_name").alias("cited")).select("p_partkey", "f.*", "cited")
+
+
+_BOUND = "regexp_matches({0}, '(^|[^a-z0-9])({1})([^a-z0-9]|$)')"
+
+
+def _surface_sql(value: str) -> str:
+    cases = " ".join(
+        f"when {sql_text(v)} then {_BOUND.format('low', '|'.join(w.replace('.', '[.]') for w in G.SURFACES[v]))}" for v in ("JP", "US", "EU", "CN", "P3", "P2", "approved")
+    )
+    return f"case {value} {cases} end"
+
+
+_GROUND = f"""with f as (select p_partkey, [{', '.join(sql_text(a) for a, *_ in _FACTS)}][1 + p_partkey % 4] as asset_id, [{', '.join(sql_text(f[1]) for f in _FACTS)}][1 + p_partkey % 4] as indication,
+      [{', '.join(sql_text(f[2]) for f in _FACTS)}][1 + p_partkey % 4] as region, [{', '.join(sql_text(f[3]) for f in _FACTS)}][1 + p_partkey % 4] as stage,
+      [{', '.join(map(sql_text, _CITED))}][1 + p_partkey % 6] || chr(10) || p_name as cited from part),
+    l as (select *, lower(cited) as low, {sql_slug('cited')} as cs, list_filter(string_split({sql_canonical('indication')}, ' '), lambda w: length(w) > 2) as iw, {sql_canonical('cited')} as cc from f),
+    h as (select *, len(list_filter(iw, lambda w: contains(cc, w))) as hits from l),
+    checks as (
+      select p_partkey, 'asset' as name, asset_id as expected, contains(cs, asset_id) as found, case when contains(cs, asset_id) then 'grounded' else 'real_failure' end as category from h
+      union all select p_partkey, 'indication', indication, hits >= 0.5 * len(iw), case when hits >= 0.5 * len(iw) then 'grounded' when hits > 0 then 'indeterminate' else 'real_failure' end from h
+      union all select p_partkey, 'region', region, {_surface_sql('region')}, case when {_surface_sql('region')} then 'grounded'
+        when {_BOUND.format('low', '|'.join(w.replace('.', '[.]') for w in G.REGION_WORDS))} then 'real_failure' else 'inferred' end from h
+      union all select p_partkey, 'stage', stage, {_surface_sql('stage')}, case when {_surface_sql('stage')} then 'grounded'
+        when regexp_matches(low, '(^|[^0-9])(' || regexp_replace(stage, '^P+', '') || ')([^0-9]|$)') then 'map_gap' else 'real_failure' end from h)"""
+
+
+@query(_GROUND + " select * from checks")
+def ground_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.ground(facts_cited(spark, sf_dir), "programs").select("p_partkey", "name", "expected", "found", "category")
+
+
+@query(_GROUND + " select name, category, count(*)::bigint as n from checks group by name, category")
+def ground_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.summary(G.ground(facts_cited(spark, sf_dir), "programs"))
+
+
+@query(
+    """select l_orderkey, l_linenumber, contains(text, forms[1]) or contains(text, forms[2]) or contains(replace(text, ',', ''), forms[1]) as found from (
+      select l_orderkey, l_linenumber, [l_quantity::bigint::varchar, (l_quantity::bigint + l_linenumber % 2)::varchar || '.0'] as forms,
+        'sold ' || (l_quantity::bigint + l_linenumber % 2)::varchar || ' units of 1,0' || l_linenumber as text from lineitem)"""
+)
+def value_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = (F.col("l_quantity").cast("long") + F.col("l_linenumber") % 2).cast("string")
+    text = F.concat(F.lit("sold "), shown, F.lit(" units of 1,0"), F.col("l_linenumber").cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.value_in_text(F.col("l_quantity"), text).alias("found"))
+
+
+def _approval_body(n: str) -> str:
+    return json.dumps({"results": [{"application_number": f"NDA{n}", "openfda": {"brand_name": ["B" + n, "other"], "generic_name": ["G"]},
+        "submissions": [{"submission_type": "SUPPL", "submission_status": "TA"}, {"submission_type": "ORIG", "submission_status": "AP"}, {"submission_type": "ORIG", "submission_status": "TA"}]},
+        {"application_number": "X" + n, "submissions": []}]})
+
+
+def _trial_body(n: str) -> str:
+    return json.dumps({"studies": [{"protocolSection": {"identificationModule": {"nctId": "NCT" + n, "briefTitle": "T" + n}, "statusModule": {"overallStatus": "COMPLETED"},
+        "designModule": {"phases": ["PHASE2", "PHASE3"]}}}, {"protocolSection": {"identificationModule": {"nctId": "NCX" + n}}}]})
+
+
+@query(
+    """with n as (select c_custkey::varchar as n from customer)
+    select 'approvals' as tool, n as query, 'NDA' || n as id, 'B' || n as name, 'AP' as status from n union all select 'approvals', n, 'X' || n, '', '' from n
+    union all select 'trials', n, 'NCT' || n, 'T' || n, 'COMPLETED / PHASE2, PHASE3' from n union all select 'trials', n, 'NCX' || n, '', ' / ' from n"""
+)
+def json_tool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("query"))
+    body = lambda make: F.replace(F.lit(make("@@")), F.lit("@@"), F.col("query"))
+    a = seams.parse_approvals(asked.withColumn("body", body(_approval_body)))
+    t = seams.parse_trials(asked.withColumn("body", body(_trial_body)))
+    return a.select(F.lit("approvals").alias("tool"), "query", F.col("application_number").alias("id"), F.col("brand_name").alias("name"), F.col("submission_status").alias("status")).unionByName(
+        t.select(F.lit("trials").alias("tool"), "query", F.col("nct_id").alias("id"), F.col("title").alias("name"), F.concat("status", F.lit(" / "), "phase").alias("status"))
+    )
+
+
+@query("select event_id, (props::json->>'k')::bigint as k from events")
+def json_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "struct<k: bigint>")["k"].alias("k"))
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one brand and size, as pairs of names: blocking comes before any string comparison."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    q = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand", "p_size")
+    return p.join(q, ["p_brand", "p_size"]).where("p_partkey < other")
+
+
+@query()
+def fuzzy_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _name_pairs(spark, sf_dir).withColumn("similarity", F.round(M.similarity(F.col("p_name"), F.col("other_name")), 6))
+    return pairs.select("p_partkey", "other", "similarity", (F.col("similarity") >= M.MATCH).alias("same"))
+
+
+@query()
+def token_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _name_pairs(spark, sf_dir).withColumn("similarity", F.round(M.token_set_similarity(F.col("p_name"), F.col("other_name")), 6))
+    return pairs.select("p_partkey", "other", "similarity", (F.col("similarity") >= M.MATCH).alias("same"))
