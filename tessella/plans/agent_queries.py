@@ -170,7 +170,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = lambda d, a, b: F.struct(d.alias("doc_id"), a.cast("long").alias("start"), b.cast("long").alias("end"))
     refs = questions.where("r > 0").select("question_id", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("t"))
     refs = refs.select("question_id", F.concat(F.lit("r"), F.col("t").cast("string")).alias("ref"), topic.alias("subject"), F.lit("net sales Q1 2026").alias("attribute"), F.concat(F.lit("USD "), (F.col("t") + 1).cast("string"), F.lit(" million")).alias("value"), F.array(span(topic, F.lit(10), F.lit(12)), span(F.lit("record"), F.lit(None), F.lit(None))).alias("spans"))
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("claim"), (F.col("l_linenumber") - 1).alias("t"), "l_partkey", "l_suppkey")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")  # line numbers repeat
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.row_number().over(order).alias("claim"), (F.col("l_linenumber") - 1).alias("t"), "l_partkey", "l_suppkey")
     cite = F.col("l_suppkey") % 4
     cites = F.when(cite == 1, F.array(span(topic, F.lit(5), F.lit(20)))).when(cite == 2, F.array(span(topic, F.lit(11), F.lit(30)))).when(cite == 3, F.array(span(F.lit("record"), F.lit(None), F.lit(None)))).otherwise(F.array().cast("array<struct<doc_id: string, start: bigint, end: bigint>>"))
     value = F.when(F.col("l_partkey") % 3 > 0, F.concat(F.lit("USD "), (F.col("t") + 1).cast("string"), F.lit(",000,000"))).otherwise("approved")
