@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 
@@ -12,7 +13,9 @@ def rows_of(frame):
     def cell(x):
         if pd.api.types.is_scalar(x) and pd.isna(x):
             return None
-        return round(float(x), 6) if isinstance(x, (float, int)) else x
+        if isinstance(x, (bool, np.bool_)):
+            return bool(x)
+        return round(float(x), 6) if isinstance(x, (float, int, np.number)) else x
 
     return list(frame.columns), sorted((tuple(cell(x) for x in r) for r in frame.itertuples(index=False)), key=repr)
 
