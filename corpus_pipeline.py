@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, language, mixing, simhash, toxicity
-from tessella.llm.common import keep_rows
+from tessella.llm.common import keep_rows, slices
 from tessella.session import checkpoint_dir, table
 
 #: Of the tokens that reach the mixing stage, the part that the mix is to hold; each document at most once.
@@ -30,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t)[0] for t in batch.column(text).to_pylist()]
+            found = [model.predict(t)[0] for part in slices(batch) for t in part.column(text).to_pylist()]
             named = [a if a is not None else b for a, b in zip(batch.column(lang).to_pylist(), found)]
             columns = [*batch.columns]
             columns[lang] = pa.array(named, batch.schema.field(lang).type)

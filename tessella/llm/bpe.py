@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import map_rows
 
 MAX_FILE_BYTES = 64 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -22,6 +22,16 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")) % parts
 
 
+#: Rows of an Arrow batch that are Python objects at one time.
+SLICE_ROWS = 256
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of SLICE_ROWS, so that a worker holds few texts as Python strings."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(at, SLICE_ROWS)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """One output row for each row of ``df``, in Arrow batches.
 
@@ -36,8 +46,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = make()
         for batch in batches:
-            made = [row(*values) for values in zip(*(c.to_pylist() for c in batch.columns))]
-            if made:
+            for part in slices(batch):
+                made = [row(*values) for values in zip(*(c.to_pylist() for c in part.columns))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, type=field.type) for values, field in zip(zip(*made), arrow)], schema=arrow
                 )
@@ -52,6 +62,7 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
         for batch in batches:
-            yield batch.filter(pa.array([bool(test(x)) for x in batch.column(at).to_pylist()], type=pa.bool_()))
+            kept = [bool(test(x)) for part in slices(batch) for x in part.column(at).to_pylist()]
+            yield batch.filter(pa.array(kept, type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows
+from tessella.llm.common import map_rows, slices
 
 DIMS, SEED, PER_LANG, MAX_LANGS = 1024, 7, 3000, 2000
 LETTERS, BITS = 128, 7
@@ -123,7 +123,7 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_i
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for name, text_, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 vector = encoder(dims, seed).bundle(text_)
                 if vector is not None:

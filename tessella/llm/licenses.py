@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows
+from tessella.llm.common import map_rows, slices
 
 RARE, VOTES, COVER = 4, 2, 0.75
 #: Phrases whose every place counts, and their labels.
@@ -118,7 +118,7 @@ def frequencies(df: DataFrame, text: str = "text") -> tuple[dict[str, int], int]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, n = Counter(), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for t in batch.column(0).to_pylist():
                 tally.update(vocabulary.intersection(words_of(t)))
                 n += 1

@@ -25,7 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CONTEXT, EOS, WINDOW, CACHE = 2048, 50256, 1 << 21, 300_000
+from tessella.llm.common import slices
+
+CONTEXT, EOS, WINDOW, CACHE = 2048, 50256, 1 << 21, 100_000
 MAX_FILE_BYTES = 64 << 20
 SCHEMA = (
     "pack_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, "
@@ -161,7 +163,7 @@ def pack_texts(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
             columns = [list(numbers), *map(list, zip(*rows))]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for doc_id, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = ids.encode(text_)
                 for piece, at in enumerate(range(0, len(raw), context * width)):

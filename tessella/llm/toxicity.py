@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows
+from tessella.llm.common import map_rows, slices
 
 MAX_ROWS, MAX_FEATURES, THRESHOLD, SEED = 20_000, 1000, 0.7, 17
 PULL, RIDGE, STEPS = 10.0, 1e-4, 400
@@ -157,9 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in batches:
             tally = (Counter(), Counter())
             size = [0, 0]
-            for t, y in zip(*(c.to_pylist() for c in batch.columns)):
-                size[y] += 1
-                tally[y].update(features(words(t)))
+            for part in slices(batch):
+                for t, y in zip(*(c.to_pylist() for c in part.columns)):
+                    size[y] += 1
+                    tally[y].update(features(words(t)))
             names = sorted(tally[0].keys() | tally[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return sorted(at[f] for f in features(found) if f in at)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             own, twins = [], []
             for t in batch.column(0).to_pylist():
                 found = words(t)
