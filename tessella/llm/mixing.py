@@ -114,6 +114,22 @@ def order_key(epoch: Column, key: Column, seed: int) -> Column:
     return F.substring(F.md5(text.cast("binary")), 1, 15)
 
 
+#: Leaves up to this number are broadcast (about 20 MB); beyond it they are joined by leaf and salt.
+BROADCAST_LEAVES, SALTS = 100_000, 64
+
+
+def with_leaf(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their leaf; a leaf that holds much of the rows is not gathered in one task.
+
+    ``planned`` is a checkpointed table, so counting it is cheap.
+    """
+    if planned.count() <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(planned), list(LEVELS))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    copies = planned.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [*LEVELS, "salt"]).drop("salt")
+
+
 def plan(stats: DataFrame, total: int | float, weights: dict[tuple[str, ...], int] | None = None, max_epochs: int = MAX_EPOCHS,
          seed: int = SEED, slice_docs: int = SLICE_DOCS) -> DataFrame:
     """One row for each leaf: its budget, the whole epochs in it, and where the last epoch ends.
@@ -122,13 +138,14 @@ def plan(stats: DataFrame, total: int | float, weights: dict[tuple[str, ...], in
     budget ends; ``ahead``: tokens in the slices before it.
     """
     sums = stats.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
-    budget = checkpoint(budgets(sums, total, WEIGHTS if weights is None else weights, max_epochs)).select(
+    budget = budgets(sums, total, WEIGHTS if weights is None else weights, max_epochs).select(
         *LEVELS, "budget",
         F.expr("budget div tokens").alias("full"),
         (F.col("budget") % F.col("tokens")).alias("want"),
         F.greatest(F.lit(1), F.ceil(F.col("docs") / slice_docs)).cast("long").alias("slices"),
     )
-    placed = stats.join(budget.where("want > 0"), list(LEVELS)).withColumn("slice", slice_of("slices", "full", "doc_id", seed))
+    budget = checkpoint(budget)
+    placed = with_leaf(stats, budget).where("want > 0").withColumn("slice", slice_of("slices", "full", "doc_id", seed))
     by_slice = placed.groupBy(*LEVELS, "want", "slice").agg(F.sum("tokens").alias("t"))
     running = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     ahead = by_slice.withColumn("ahead", F.coalesce(F.sum("t").over(running), F.lit(0)))
@@ -146,7 +163,7 @@ def take(rows: DataFrame, planned: DataFrame, seed: int = SEED, tie: Column | No
 
     Rows without tokens are not drawn. ``tie`` orders rows of one id; rows alike in everything may stand for each other.
     """
-    joined = rows.where("tokens > 0").join(planned.where("budget > 0"), list(LEVELS))
+    joined = with_leaf(rows.where("tokens > 0"), planned).where("budget > 0")
     joined = joined.withColumn("slice", slice_of("slices", "full", "doc_id", seed))
     whole = F.col("full") + F.when((F.col("want") > 0) & (F.col("slice") < F.col("edge")), 1).otherwise(0)
     certain = joined.where(whole > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)))

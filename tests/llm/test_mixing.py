@@ -12,6 +12,11 @@ def test_query_matches_sql(spark):
     same(spark, queries.QUERIES["op5_mixing"], queries.ORACLES["op5_mixing"], SF)
 
 
+def test_many_leaves_are_joined_by_salt(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    same(spark, queries.QUERIES["op5_mixing"], queries.ORACLES["op5_mixing"], SF)
+
+
 def fill(total, kids):
     """Water-filling by brute force: raise the level until the budget is spent. kids: (cap, weight)."""
     given, left, todo = [0.0] * len(kids), float(total), set(range(len(kids)))
