@@ -78,15 +78,16 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 def parse_chats(df: DataFrame, formatted: str = "formatted") -> DataFrame:
     """``df`` with ``turns array<struct<role, text>>``, read back from the formatted text; an empty text has no turns."""
     pieces = F.split(F.col(formatted), "###")
+    # outside of the lambda below, so that a conversation is split once and not for each block
+    heads = F.filter(pieces, lambda x, i: i % 2 == 1)
+    bodies = F.filter(pieces, lambda x, i: (i > 0) & (i % 2 == 0))
 
-    def turns_of(k: Column) -> Column:
-        head, body = F.get(pieces, 2 * k - 1), F.get(pieces, 2 * k)
-        role = unescape(F.substring(head, F.lit(2), F.length(head) - 2))
-        texts = F.split(F.substring(body, F.lit(2), F.length(body)), END)
+    def turns_of(block: Column) -> Column:
+        role = unescape(F.substring(block["head"], F.lit(2), F.length(block["head"]) - 2))
+        texts = F.split(F.substring(block["body"], F.lit(2), F.length(block["body"])), END)
         return F.transform(F.slice(texts, F.lit(1), F.size(texts) - 1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    count = F.floor((F.size(pieces) - 1) / 2).cast("int")
-    blocks = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    blocks = F.arrays_zip(heads.alias("head"), bodies.alias("body"))
     return df.withColumn("turns", F.flatten(F.transform(blocks, turns_of)))
 
 
