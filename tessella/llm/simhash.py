@@ -16,8 +16,8 @@ have passed the radius. Every hit is united at once within its task, which emits
 pair. Keys with more than ``TILE`` fingerprints are dealt out as tiles (pairs of chunks of at most about TILE rows), so a
 group of any size is compared whole by many tasks.
 
-Groups: links between fingerprints are contracted by rounds of min-label hooking and pointer jumping over
-DataFrames, checkpointed each round in the shared folder. Equal texts are one fingerprint from the start, so
+Groups: links between fingerprints go through the library's connected components (rounds of min-label hooking and
+pointer jumping over DataFrames, checkpointed in the shared folder). Equal texts are one fingerprint from the start, so
 copies cost nothing but one aggregation; nothing is collected to the driver but counts.
 """
 
@@ -34,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import fresh, map_rows
+from tessella.operators.components import connected_components
 from tessella.session import checkpoint
 
 SEED = 42
 TILE = 4096
 ITEMS = 1 << 15
 LARGE, LARGE_STEP = 512, 128
+SALTS = 32
 
 _LANES = np.array([sum(1 << (8 * j) for j in range(8) if b >> j & 1) for b in range(256)], np.uint64)
 _STEP = 0x9E3779B97F4A7C15
@@ -334,42 +336,6 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], words: int):
         yield tuple(np.ascontiguousarray(np.concatenate(x)) for x in zip(*rest))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node of ``edges``: root is the least node of its connected component.
-
-    Each round, every edge between different roots hooks the larger root to the smallest root it sees, and roots are then
-    jumped to their own roots until they stop; rounds are logarithmic in the longest chain.
-    """
-    edges = checkpoint(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    labels = checkpoint(nodes.select("node", F.col("node").alias("root")))
-    for _ in range(rounds):
-        if edges.isEmpty():
-            return labels
-        # hook: each root takes the least neighbouring root below it
-        both = edges.union(edges.select("v", "u"))
-        hooks = both.groupBy("u").agg(F.min("v").alias("v")).where("v < u")
-        hooks = checkpoint(hooks.select(F.col("u").alias("old"), F.col("v").alias("new")))
-        while True:  # jump: old -> new -> ... until no target is itself hooked
-            nxt = hooks.select(F.col("old").alias("new"), F.col("new").alias("further"))
-            jumped = checkpoint(
-                hooks.join(nxt, "new", "left").select("old", F.coalesce("further", "new").alias("new"), F.col("further").isNotNull().alias("moved"))
-            )
-            hooks = jumped.select("old", "new")
-            if jumped.where("moved").isEmpty():
-                break
-        labels = checkpoint(
-            labels.join(hooks, labels["root"] == hooks["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
-        )
-        for side in ("u", "v"):
-            named = hooks.select(F.col("old").alias(side), "new")
-            edges = edges.join(named, side, "left").select(
-                *[F.coalesce("new", side).alias(side) if c == side else F.col(c) for c in ("u", "v")]
-            )
-        edges = checkpoint(edges.where("u <> v").distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def table_width(n: int) -> int:
     """Bits of a sampled mask for n fingerprints: with 8 bits less than n has, keys of chance hold some hundreds."""
     return max(12, n.bit_length() - 8)
@@ -394,10 +360,14 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     else:
         tables = sampled_tables(bits, radius, table_width(distinct.count()), recall)
     edges = links(distinct.select("fp"), radius, tables, words, tile)
-    roots = components(edges).select(F.col("node").alias("fp"), "root")
-    named = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select("fp", "root", "component_id")
+    roots = connected_components(edges).select(F.col("node").alias("fp"), "root")
+    linked = distinct.join(roots, "fp")
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a component may hold any part of the fingerprints: it is met by salts, not in one task
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(ids, ["root", "salt"])
+    alone = distinct.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    named = alone.unionByName(linked.select("fp", "root", "component_id"))
     return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 

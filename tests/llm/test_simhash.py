@@ -72,7 +72,7 @@ def test_links_lose_nothing(spark, tile):
     fps = sorted(fps | {rng.getrandbits(64) for _ in range(50)})
     df = spark.createDataFrame([([simhash._signed(f)],) for f in fps], "fp array<long>")
     edges = simhash.links(df, 4, simhash.pigeonhole_tables(64, 4, 5), tile=tile)
-    roots = {r.node[0] % 2**64: r.root[0] % 2**64 for r in simhash.components(edges).collect()}
+    roots = {r.node[0] % 2**64: r.root[0] % 2**64 for r in simhash.connected_components(edges).collect()}
     for e in edges.collect():
         assert bin(e.a[0] % 2**64 ^ e.b[0] % 2**64).count("1") <= 4 * len(fps)
     want = brute_components(fps, 4)
