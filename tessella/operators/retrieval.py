@@ -22,10 +22,8 @@ def idf(counts: DataFrame, n_units: Column | int) -> DataFrame:
     """``token, df, idf``: ln((n - df + .5) / (df + .5)); negative ones become EPSILON times the mean over the vocabulary."""
     df = counts.groupBy("token").agg(F.count("*").alias("df"))
     raw = df.withColumn("raw", F.log(n_units - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select(
-        "token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
-    )
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return raw.select("token", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(units: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
@@ -61,16 +59,28 @@ def unit_vector(vector: Column) -> Column:
     return F.transform(wide, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
+def in_blocks(units: DataFrame, queries: DataFrame, rows: int = 4096, least: int = 16) -> DataFrame:
+    """Every unit with every query, as an equi-join: units fall into parts, queries into blocks of about ``rows`` rows, and
+    each part meets each block in one group. What is copied grows with the number of blocks, not with the pairs."""
+    parts = max(least, -(-units.count() // rows))
+    blocks = max(1, -(-queries.count() // rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    a = units.withColumn("part", own("unit_id", parts)).withColumn("block", every(blocks))
+    b = queries.withColumn("block", own("query_id", blocks)).withColumn("part", every(parts))
+    return a.join(b, ["part", "block"]).drop("part", "block")
+
+
 def cosine_ranks(units: DataFrame, queries: DataFrame, k: int | None = None, itself: bool = False) -> DataFrame:
     """``query_id, unit_id, score, rank`` by cosine over all units: a stated query set against all rows.
 
-    ``units``: unit_id, vector; ``queries``: query_id, vector. Scores are rounded to 9 places before ranking. Queries are dealt to
-    the units' partitions as one side of a nested loop, so no shuffle precedes the scores, and with ``k`` Spark's
-    group limit keeps k rows for each query and partition before the shuffle on the query.
+    ``units``: unit_id, vector; ``queries``: query_id, vector. Scores are rounded to 9 places before ranking. With ``k`` Spark's group
+    limit keeps k rows for each query and partition before the shuffle on the query.
     """
     a = units.select("unit_id", unit_vector(F.col("vector")).alias("u"))
     b = queries.select("query_id", unit_vector(F.col("vector")).alias("q"))
-    pairs = a.join(b, F.lit(True) if itself else F.col("unit_id") != F.col("query_id"))
+    pairs = in_blocks(a, b)
+    pairs = pairs if itself else pairs.where("unit_id <> query_id")
     dot = F.aggregate(F.zip_with("u", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return ranked(pairs.select("query_id", "unit_id", F.round(dot, 9).alias("score")), k)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,19 +43,20 @@ def read_artifacts(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str,
 
 
 def write_artifact(tables: dict[str, DataFrame], meta: dict[str, str], path: str) -> None:
-    """The five tables as one JSON artifact (for exchange; tables themselves are better written as Parquet)."""
-    spark = next(iter(tables.values())).sparkSession
-    out = spark.range(1).select(F.lit(VERSION).alias("schema_version"), F.create_map(*[F.lit(x) for kv in meta.items() for x in kv]).alias("meta"))
-    counts, results = [], []
+    """The tables of one document as one JSON artifact, for exchange; larger sets of tables are written as Parquet."""
+    named = None
     for name, rows in tables.items():
         order = [c for c in ("document_id", "chunk_index", "ordinal") if c in rows.columns]
         entity = F.struct(*[c for c in rows.columns if c not in ("document_id", "chunk_index", "ordinal")])
-        packed = rows.agg(F.array_sort(F.collect_list(F.struct(*order, entity.alias("e")))).alias(name)).select(F.transform(name, lambda x: x["e"]).alias(name))
-        out = out.join(packed)
-        counts += [F.lit(name), F.size(name)]
-        results.append(F.col(name))
-    out = out.select("schema_version", "meta", F.create_map(*counts).alias("counts"), F.struct(*results).alias("result"))
-    out.coalesce(1).write.mode("overwrite").json(path)
+        items = F.array_sort(F.collect_list(F.struct(*order, F.to_json(entity).alias("e"))))
+        one = rows.agg(F.transform(items, lambda x: x["e"]).alias("items")).select(F.lit(name).alias("name"), "items")
+        named = one if named is None else named.unionByName(one)
+    found = named.agg(F.map_from_entries(F.collect_list(F.struct("name", "items"))).alias("m"))
+    listed = lambda n: F.concat(F.lit(f'"{n}": ['), F.array_join(F.col("m")[n], ", "), F.lit("]"))
+    head = json.dumps({"schema_version": VERSION, "meta": meta}, ensure_ascii=False)[:-1]
+    counts = F.to_json(F.create_map(*[x for n in tables for x in (F.lit(n), F.size(F.col("m")[n]))]))
+    text = F.concat(F.lit(head + ', "counts": '), counts, F.lit(', "result": {'), F.concat_ws(", ", *[listed(n) for n in tables]), F.lit("}}"))
+    found.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
