@@ -33,7 +33,7 @@ class Script:
 
 SUFFICIENT, EXHAUSTED = ("sufficient", None, [], [], []), ("exhausted", None, [], [], ["nothing more"])
 GAP = ("gap", "corpus", [], ["again"], [])
-TOOL = ("gap", "regulatory_status", [], ["wakix"], [])
+TOOL = ("gap", "regulatory_status", [], ["brandx"], [])
 OK, BAD = ("s", "a", "v", [0]), ("s", "a", "v", [99])
 
 
@@ -41,7 +41,7 @@ def test_terminal_states(spark):
     verdicts = {"ok": [SUFFICIENT], "cap": [GAP], "ex": [GAP, EXHAUSTED], "drop": [SUFFICIENT], "fix": [SUFFICIENT], "none": [SUFFICIENT], "empty": [SUFFICIENT], "tool": [TOOL, SUFFICIENT]}
     claims = {"ok": [[OK]], "cap": [[OK]], "ex": [[OK]], "drop": [[OK, BAD], [OK, BAD]], "fix": [[BAD], [OK]], "none": [[]], "empty": [[OK]], "tool": [[("s", "a", "v", [])]]}
     body = json.dumps({"results": [{"application_number": "N1", "openfda": {"brand_name": ["W"], "generic_name": ["P"]}, "submissions": [{"submission_type": "ORIG", "submission_status": "AP"}]}]})
-    tools = seams.Replay(spark.createDataFrame([("approvals", "wakix", 200, body)], "tool string, query string, status int, body string"))
+    tools = seams.Replay(spark.createDataFrame([("approvals", "brandx", 200, body)], "tool string, query string, status int, body string"))
     questions = spark.createDataFrame([(q, f"question {q}") for q in verdicts], "question_id string, question string")
 
     def retriever(asked):
@@ -102,20 +102,20 @@ def test_sanity_agents(spark):
 
 def test_artifact_round_trip(spark, tmp_path):
     payload = json.dumps({
-        "assets": [{"generic_name": " ", "development_codes": ["TAK-1"], "brand_names": [], "aliases": [], "company": ""}, {"generic_name": None, "aliases": [" "]}],
-        "programs": [{"asset_ref": "TAK-1", "indication": "UC", "region": "US", "stage": "P2", "therapeutic_area": "GI", "evidence": "quoted words"}],
-        "trials": [{"asset_refs": ["TAK-1", "New one"], "indication": "UC", "phase": "2", "met_primary_endpoint": True, "evidence": "not there"}],
+        "assets": [{"generic_name": " ", "development_codes": ["ABC-1"], "brand_names": [], "aliases": [], "company": ""}, {"generic_name": None, "aliases": [" "]}],
+        "programs": [{"asset_ref": "ABC-1", "indication": "UC", "region": "US", "stage": "P2", "therapeutic_area": "GI", "evidence": "quoted words"}],
+        "trials": [{"asset_refs": ["ABC-1", "New one"], "indication": "UC", "phase": "2", "met_primary_endpoint": True, "evidence": "not there"}],
         "market_metrics": [{"subject_ref": "Acme", "metric": "revenue", "value": 1.5, "unit": "USD bn", "geography": "US"}],
     })
     chunks = spark.createDataFrame([("doc", 3, ["A", "B"], (4, 9), "some quoted words here", "Acme", "2024", payload)],
         "document_id string, chunk_index int, section_path array<string>, line_range struct<start: int, end: int>, text string, source_company string, as_of_date string, payload string")
     tables = X.map_payloads(chunks)
-    assert [(r.id, r.company) for r in tables["assets"].collect()] == [("tak-1", "Acme")]
+    assert [(r.id, r.company) for r in tables["assets"].collect()] == [("abc-1", "Acme")]
     p = tables["programs"].first()
-    assert (p.id, p.asset_id, p.as_of_date, p.source_ref.snippet, p.source_ref.section, p.source_ref.line_range) == ("doc:3:program:0", "tak-1", "2024", "quoted words", "A > B", [4, 9])
-    assert tables["trials"].first().source_ref.snippet == "some quoted words here" and tables["trials"].first().asset_ids == ["tak-1", "new-one"]
+    assert (p.id, p.asset_id, p.as_of_date, p.source_ref.snippet, p.source_ref.section, p.source_ref.line_range) == ("doc:3:program:0", "abc-1", "2024", "quoted words", "A > B", [4, 9])
+    assert tables["trials"].first().source_ref.snippet == "some quoted words here" and tables["trials"].first().asset_ids == ["abc-1", "new-one"]
     texts = {r.kind: r.text for r in X.serialize_facts(tables).collect()}
-    assert texts == {"program": "  TAK-1 | UC | US | P2 | GI", "trial": "  TAK-1 new-one | UC | phase 2", "market_metric": "Acme | revenue | US | 1.5 USD bn"}
+    assert texts == {"program": "  ABC-1 | UC | US | P2 | GI", "trial": "  ABC-1 new-one | UC | phase 2", "market_metric": "Acme | revenue | US | 1.5 USD bn"}
     files.write_artifact(tables, {"model": "m"}, str(tmp_path / "a"))
     meta, back = files.read_artifacts(spark, str(tmp_path / "a"))
     assert meta.first().counts == {"assets": 1, "programs": 1, "trials": 1, "regulatory_events": 0, "market_metrics": 1}

@@ -83,16 +83,16 @@ def test_components(spark):
 
 
 def test_identifier_clusters(spark):
-    df = spark.createDataFrame([(1, ["TAK-1", "Brand"]), (2, ["brand ", " "]), (3, ["Other"]), (4, ["unknown", "other!"])], "asset long, identifiers array<string>")
+    df = spark.createDataFrame([(1, ["ABC-1", "Brand"]), (2, ["brand ", " "]), (3, ["Other"]), (4, ["unknown", "other!"])], "asset long, identifiers array<string>")
     got = {r.asset: r.canonical for r in identifier_clusters(df).collect()}
     assert got == {1: "brand", 2: "brand", 3: "other", 4: "other"}
 
 
 def test_grounding(spark):
     schema = "asset_id string, indication string, region string, stage string, cited string"
-    rows = [("tak-861", "narcolepsy type 1", "US", "P3", "TAK-861 in narcolepsy type 1: 2028 3"), ("x", "lupus", "US", "P2", "systemic lupus in Japan, phase ii"), ("x", "a rare disease kind", "EU", "P1", "rare thing")]
+    rows = [("abc-861", "narcolepsy type 1", "US", "P3", "ABC-861 in narcolepsy type 1: 2028 3"), ("x", "lupus", "US", "P2", "systemic lupus in Japan, phase ii"), ("x", "a rare disease kind", "EU", "P1", "rare thing")]
     got = {(r.asset_id, r.name, r.region): r.category for r in G.ground(spark.createDataFrame(rows, schema), "programs").collect()}
-    assert got["tak-861", "asset", "US"] == "grounded" and got["tak-861", "stage", "US"] == "map_gap" and got["tak-861", "region", "US"] == "inferred"
+    assert got["abc-861", "asset", "US"] == "grounded" and got["abc-861", "stage", "US"] == "map_gap" and got["abc-861", "region", "US"] == "inferred"
     assert got["x", "region", "US"] == "real_failure" and got["x", "stage", "US"] == "grounded" and got["x", "indication", "EU"] == "indeterminate"
     low = spark.createDataFrame([("the u.s. market",), ("lupus",)], "t string").select(G.has_surface(F.col("t"), F.lit("US")), G.has_surface(F.col("t"), F.lit("other"))).collect()
     assert [tuple(r) for r in low] == [(True, False), (False, False)]
