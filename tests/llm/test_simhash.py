@@ -125,7 +125,7 @@ def test_keep_one(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(5000)]
     base = [rng.choices(words, k=300) for _ in range(30)]
-    rows, group = [], []
+    rows = []
     for i in range(200):
         text = list(base[i % 30])
         for _ in range(rng.randrange(4)):  # at most 15 of 296 shingles change on either side
