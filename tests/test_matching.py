@@ -85,7 +85,7 @@ def test_components(spark):
 def test_identifier_clusters(spark):
     df = spark.createDataFrame([(1, ["ABC-1", "Brand"]), (2, ["brand ", " "]), (3, ["Other"]), (4, ["unknown", "other!"])], "asset long, identifiers array<string>")
     got = {r.asset: r.canonical for r in identifier_clusters(df).collect()}
-    assert got == {1: "brand", 2: "brand", 3: "other", 4: "other"}
+    assert got == {1: "abc-1", 2: "abc-1", 3: "other", 4: "other"}
 
 
 def test_grounding(spark):
