@@ -16,21 +16,30 @@ from tessella.llm import bpe, language, mixing, simhash, toxicity
 from tessella.llm.common import keep_rows, slices
 from tessella.session import checkpoint_dir, table
 
+#: A text of so many letters whose best cosine is lower is in none of the known languages (short texts are left alone).
+MIN_LETTERS, MIN_SCORE = 40, 0.08
 #: Of the tokens that reach the mixing stage, the part that the mix is to hold; each document at most once.
 MIX_TOTAL = 0.9
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letters, null texts) go; a null ``lang`` takes the predicted language.
+    """Documents without a language (no letters, null texts, or like no known language) go; a null ``lang`` takes the
+    predicted one.
 
     Prototypes are learned from the rows of ``docs`` that have a language.
     """
     model = language.fit(docs)
+
+    def accepted(t: str | None) -> str:
+        name, score = model.predict(t)
+        strange = score < MIN_SCORE and name != "und" and sum(map(str.isalpha, t)) >= MIN_LETTERS
+        return "und" if strange else name
+
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t)[0] for part in slices(batch) for t in part.column(text).to_pylist()]
+            found = [accepted(t) for part in slices(batch) for t in part.column(text).to_pylist()]
             named = [a if a is not None else b for a, b in zip(batch.column(lang).to_pylist(), found)]
             columns = [*batch.columns]
             columns[lang] = pa.array(named, batch.schema.field(lang).type)

@@ -18,6 +18,15 @@ def test_stages(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if model.score(r.text) < 0.7}
 
 
+def test_language_rejects(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = [(-1, None), (-2, ""), (-3, "12 %%% 34"), (-4, "Это русский текст о погоде и природе, и он достаточно длинный"), (-5, "Von."), (-6, docs.first().text)]
+    more = spark.createDataFrame([(i, t, None, None, 0) for i, t in odd], docs.schema)
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs.unionByName(more), SF).collect()}
+    assert {i for i in kept if i < 0} == {-5, -6} and kept[-6] == docs.first().lang
+    assert len(kept) == docs.count() + 2
+
+
 def test_near_duplicates_by_jaccard(spark):
     """Every pair of at least 0.85 loses a document, exact copies all but one, and documents without a similar one stay."""
     docs = table(spark, SF, "documents").collect()
