@@ -38,6 +38,8 @@ SCALES = {
 DIMENSIONS = {
     "revenue": "currency", "growth_rate": "percent", "market_share": "percent", "patient_count": "count", "country_count": "count",
 }
+#: A search token.
+TOKEN = r"[a-z0-9][a-z0-9\-/()]*"
 
 
 def literal_map(values: dict) -> Column:
@@ -154,7 +156,7 @@ def construct_of(label: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Search tokens: runs that begin with a letter or digit and may hold - / ( )."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9\-/()]*"), 0)
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
 def general_format(value: Column) -> Column:

@@ -26,16 +26,18 @@ MARKERS = [
     ("approved", ["approved", "approval"]),
     ("pending_filing", ["filed", "filing", "submission", "submitted", "submit", "under review"]),
 ]
+#: Patterns of currencies, amounts, percentages and phases in lower-case text.
 _SCALE = "k|m|mn|bn|million|millions|billion|thousand|trillion"
 CURRENCY = r"\b(usd|eur|gbp|jpy|chf)\b|(\$)"
 MAGNITUDE = rf"\d[\d,]*(?:\.\d+)?\s*(?:{_SCALE})\b"
 AMOUNT = rf"(\d[\d,]*(?:\s\d{{3}})*(?:\.\d+)?)\s*({_SCALE})?\b"
 PERCENT = r"([+-]?)\s*(\d+(?:\.\d+)?)\s*%\s*\(?\s*([a-z]+(?:\s+[a-z]+)?)?"
+PHASES = [r"\bphase[-\s]+([ivx]+|\d+)\b", r"\bp-(iii|ii|iv|i|v|\d+)\b", r"\bp(\d+)\b"]
 
 
 def _phase(low: Column) -> Column:
     found = F.lit("")
-    for pattern in (r"\bphase[-\s]+([ivx]+|\d+)\b", r"\bp-(iii|ii|iv|i|v|\d+)\b", r"\bp(\d+)\b"):
+    for pattern in PHASES:
         found = F.when(found != "", found).otherwise(F.regexp_extract(low, pattern, 1))
     roman = literal_map({r: i + 1 for i, r in enumerate(ROMAN)})
     return F.when(found.rlike(r"^\d+$"), found.cast("int")).otherwise(roman[found])

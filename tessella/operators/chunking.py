@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import strip
 
+#: Default sizes, and what a header line looks like.
 SIZE, OVERLAP = 1500, 200
 HEADER = r"(?U)^(#{1,6})\s+(.*\S)\s*$"
 
