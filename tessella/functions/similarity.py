@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,7 @@ def _ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+@lru_cache(1 << 16)
 def strict_ratio(a: str, b: str) -> float:
     """Of two canonical terms: 1 if equal, 0 if one is empty, else the better of the plain and the word-sorted ratio."""
     if a == b:
@@ -27,6 +29,7 @@ def strict_ratio(a: str, b: str) -> float:
     return max(_ratio(a, b), _ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
 
 
+@lru_cache(1 << 16)
 def token_set_ratio(a: str, b: str) -> float:
     """As strict, or better by shared words: 1 if one's words contain the other's, 0 without shared words."""
     strict, x, y = strict_ratio(a, b), set(a.split()), set(b.split())
@@ -48,6 +51,16 @@ def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
+def canonical_set_match(a: Column, b: Column, least: float = MATCH) -> Column:
+    """As ``token_set_match``, for terms that are canonical already; pairs that are equal or whose words contain one
+    another are settled before the UDF sees the rest (as empty strings, which cost nothing)."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    inside = (a != "") & (b != "") & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
+    sure = (a == b) | inside
+    rest = lambda c: F.when(sure, "").otherwise(c)
+    return sure | (_token_set(rest(a), rest(b)) >= least)
+
+
 def similarity(a: Column, b: Column) -> Column:
     return _strict(canonical_term(a), canonical_term(b))
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.similarity import token_set_match
+from tessella.functions.similarity import canonical_set_match
+from tessella.functions.text import canonical_term
 from tessella.functions.values import classify, value_match
 
 
@@ -39,9 +40,10 @@ def contained(cited: Column, acceptable: Column) -> Column:
 
 def matched_claims(claims: DataFrame, refs: DataFrame) -> DataFrame:
     """Pairs of claims and references of one question that agree on subject and attribute, with ``right`` for the value."""
-    a = claims.select("question_id", "claim", F.col("subject").alias("s"), F.col("attribute").alias("a"), classify(F.col("value")).alias("v"), "citations")
-    b = refs.select("question_id", "ref", F.col("subject").alias("rs"), F.col("attribute").alias("ra"), classify(F.col("value")).alias("rv"), "spans")
-    pairs = a.join(b, "question_id").where(token_set_match(F.col("s"), F.col("rs")) & token_set_match(F.col("a"), F.col("ra")))
+    term = lambda c: canonical_term(F.col(c))  # noqa: E731  once for each row, not for each pair
+    a = claims.select("question_id", "claim", term("subject").alias("s"), term("attribute").alias("a"), classify(F.col("value")).alias("v"), "citations")
+    b = refs.select("question_id", "ref", term("subject").alias("rs"), term("attribute").alias("ra"), classify(F.col("value")).alias("rv"), "spans")
+    pairs = a.join(b, "question_id").where(canonical_set_match(F.col("s"), F.col("rs"))).where(canonical_set_match(F.col("a"), F.col("ra")))
     return pairs.select("question_id", "claim", "ref", "citations", "spans", value_match(F.col("v"), F.col("rv")).alias("right"))
 
 
