@@ -67,27 +67,27 @@ class Bpe:
         symbols = byte_symbols()
         self.inner = [self.vocab.get(c, -1) for c in symbols]
         self.last = [self.vocab.get(c + self.suffix, -1) for c in symbols]
-        self.normalizers = spec["normalizer"]["normalizers"] if spec["normalizer"] else []
-        known = [n["type"] if n["type"] != "Replace" else n["pattern"].get("Regex") for n in self.normalizers]
-        if not {*known} <= {"NFC", "Lowercase", r"\s+"}:  # white space only separates words, whatever its form
+        steps = spec["normalizer"]["normalizers"] if spec["normalizer"] else []
+        known = [n["type"] if n["type"] != "Replace" else n["pattern"].get("Regex") for n in steps]
+        if not {*known} <= {"NFC", "Lowercase", r"\s+"}:
             raise ValueError("only NFC, lower case and white-space normalizers")
-        self.lowers = "Lowercase" in known
+        self.composes, self.lowers = "NFC" in known, "Lowercase" in known
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         if split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("only files that keep the matches of their split pattern")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), regex.V0).findall
+        self.letters_are_words = self.words("aé漢ǰ") == ["aé漢ǰ"]
         stops = sorted(self.special, key=len, reverse=True)
         self.stop = regex.compile("(" + "|".join(map(regex.escape, stops)) + ")") if stops else None
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.seen = _Seen(self, cache_words)
 
     def normalize(self, text: str) -> str:
-        for n in self.normalizers:
-            if n["type"] == "NFC":
-                text = text if text.isascii() else unicodedata.normalize("NFC", text)
-            elif n["type"] == "Lowercase":  # letter by letter: a final capital sigma gets no form of its own
-                text = text.replace("Σ", "σ").lower()
-        return text
+        """NFC and lower case as the file asks for; white space only separates words, so its form is left alone."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text) if self.composes else text
+            text = text.replace("Σ", "σ") if self.lowers else text  # letter by letter: a final sigma has no form of its own
+        return text.lower() if self.lowers else text
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word: merges by rank from a priority queue over a doubly linked list of symbols."""
@@ -146,23 +146,45 @@ class Bpe:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The vocabulary strings of the known ids; without a decoder in the file they are joined by a space."""
-        return " ".join([self.strings[i] for i in ids if i in self.strings])
+        strings = self.strings
+        return " ".join([strings[i] for i in ids if i in strings])
 
 
 class _Seen(dict):
-    """Run without white space, or a space and a special token -> (decimal ids, decoded strings), each joined by a space; emptied when it is full."""
+    """Run without white space, or a space and a special token -> (decimal ids, decoded strings), each joined by a space.
+
+    Words are remembered apart, as many runs differ by punctuation only. Either memory is emptied when it is full.
+    """
 
     def __init__(self, bpe: Bpe, most: int):
         super().__init__()
-        self.bpe, self.most = bpe, most
+        self.bpe, self.most, self.known = bpe, most, {}
+
+    def _forms(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), self.bpe.decode(ids)
 
-    def __missing__(self, word: str) -> tuple[str, str]:
+    def word(self, word: str) -> tuple[str, str]:
+        out = self.known.get(word)
+        if out is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            out = self.known[word] = self._forms(self.bpe.merge(word))
+        return out
+
+    def __missing__(self, run: str) -> tuple[str, str]:
         bpe = self.bpe
-        ids = [bpe.special[word[1:]]] if word[0] == " " else [i for w in bpe.words(bpe.normalize(word)) for i in bpe.merge(w)]
-        out = (" ".join(map(str, ids)), bpe.decode(ids))
+        if run[0] == " ":
+            out = self._forms([bpe.special[run[1:]]])
+        else:
+            text = bpe.normalize(run)
+            if bpe.letters_are_words and text.isalpha():
+                out = self.word(text)
+            else:
+                found = [x for w in bpe.words(text) if (x := self.word(w))[0]]
+                out = (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
         if len(self) >= self.most:
             self.clear()
-        self[word] = out
+        self[run] = out
         return out
 
 
