@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from fractions import Fraction
+from itertools import combinations, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh, map_rows
+from tessella.llm.common import fresh, map_rows, slices
 from tessella.operators.components import connected_components
 from tessella.session import checkpoint
 
@@ -84,7 +86,10 @@ def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> list[int]:
     """The fingerprint as ``words`` unsigned 64-bit numbers."""
-    h = shingle_hashes(text, shingle)
+    return _fingerprint(shingle_hashes(text, shingle), words)
+
+
+def _fingerprint(h: np.ndarray, words: int) -> list[int]:
     if not len(h):
         return [0] * words
     return [_majority(h if not k else _mix(h, k)) for k in range(words)]
@@ -371,22 +376,126 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, words: int = 4, radius: int = 45,
-             recall: float = 0.95) -> DataFrame:
+def shared_families(nodes: DataFrame, radius: int, tables: list[tuple[int, ...]], words: int, tile: int, weight: int) -> DataFrame:
+    """``text_hash, null, number, family, chunks`` of the texts whose fingerprints are linked to another's or equal to it.
+
+    A family holds all texts that SimHash may take for similar; ``chunks`` is into how many parts it is cut to be compared.
+    """
+    edges = links(checkpoint(nodes.select("fp").distinct()), radius, tables, words)
+    roots = connected_components(edges).select(F.col("node").alias("fp"), "root")
+    named = nodes.join(roots, "fp", "left").select(
+        "text_hash", "null", "number", "size", F.xxhash64(F.coalesce("root", "fp")).alias("family")
+    )
+    named = checkpoint(named)
+    shared = named.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("sum")).where("n > 1")
+    chunks = F.ceil(F.greatest(F.col("n") / tile, F.col("sum") / weight)).cast("int")
+    shared = shared.select("family", F.greatest(F.lit(1), F.least(chunks, F.col("n").cast("int"))).alias("chunks"))
+    return named.join(shared, "family").select("text_hash", "null", "number", "family", "chunks")
+
+
+def _similar(sets: list[np.ndarray], side: np.ndarray | None, share: Fraction) -> np.ndarray:
+    """Local roots of sets (sorted unique numbers) linked by a Jaccard similarity of at least ``share``, each with any
+    other, or, with ``side``, only with those of the other side.
+
+    From each set those not yet reached are searched, so a group of similar sets costs little more than its first search.
+    """
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(values) + 1, np.int64)
+    root, rest = np.arange(len(sets)), np.arange(len(sets))
+    while len(rest):
+        first, queue, rest = rest[0], [rest[0]], rest[1:]
+        while queue and len(rest):
+            q = queue.pop()
+            low, high = np.minimum(sizes[rest], sizes[q]), np.maximum(sizes[rest], sizes[q])
+            fits = share.denominator * low >= share.numerator * high
+            x = rest[fits if side is None else fits & (side[rest] != side[q])]
+            if not len(x):
+                continue
+            own = ids[starts[q] : starts[q] + sizes[q]]
+            mark[own] = 1
+            ends = np.cumsum(sizes[x])
+            at = np.repeat(starts[x] - ends + sizes[x], sizes[x]) + np.arange(ends[-1])
+            sums = np.append(0, np.cumsum(mark[ids[at]]))
+            mark[own] = 0
+            common = sums[ends] - sums[ends - sizes[x]]
+            hit = x[share.denominator * common >= share.numerator * (sizes[x] + sizes[q] - common)]
+            if len(hit):
+                root[hit] = first
+                queue.extend(hit.tolist())
+                rest = rest[root[rest] != first]
+    return root
+
+
+def verified(sets: DataFrame, share: Fraction) -> DataFrame:
+    """``a, b``: text hashes linked by the exact similarity of their sets; a spanning forest for each family or tile of it.
+
+    ``sets``: text_hash, family, chunks, set (unique shingle hashes as bytes). A family of several chunks is compared as
+    tiles, each chunk with itself and with every other, so all its pairs meet.
+    """
+    mine = F.pmod(F.xxhash64("text_hash", F.lit(11)), F.col("chunks")).cast("int")
+    every = sets.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    part = F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    spread = every.select(F.xxhash64("family", part).alias("dealt"), side.cast("int").alias("side"), "text_hash", "set")
+    parts = spread.repartition(F.col("dealt")).sortWithinPartitions("dealt")
+
+    def linked(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
+        side = np.array([s for s, _, _ in rows])
+        root = _similar([np.frombuffer(x, np.uint64) for _, _, x in rows], None if side[0] < 0 else side, share)
+        for i in np.flatnonzero(root != np.arange(len(rows))).tolist():
+            yield rows[i][1], rows[root[i]][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for piece in slices(batch) for r in zip(*(c.to_pylist() for c in piece.columns)))
+        for _, tile in groupby(rows, key=itemgetter(0)):
+            found = list(linked([r[1:] for r in tile]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return parts.mapInArrow(run, "a long, b long")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, words: int = 4, radius: int = 64,
+             differ: int = 45, recall: float = 0.99, similarity: float = 0.8, tile: int = 1024, weight: int = 1 << 20) -> DataFrame:
     """The rows of ``df``, one for each group of near duplicates: that with the least key, of equal keys the least text
     hash, of equal rows any. All columns stay as they are.
 
-    The defaults stand for a similarity of 0.8 over shingles of five words: at that Jaccard similarity the expected
-    difference is 39 of 256 bits with a deviation of 6.
+    Near duplicates are texts whose sets of shingles (as 64-bit hashes) have a Jaccard similarity of ``similarity`` or more, directly or
+    through others. SimHash only proposes: texts that meet in a mask (a pair ``differ`` bits apart with chance ``recall``) and lie
+    within ``radius`` bits, directly or through others, are a family, and within it every pair is held to the exact
+    similarity. At 0.8 over sets of equal size the expected difference is 39 of 256 bits with a deviation of 6.
     """
     held, null, number, hashed = (fresh(df, x) for x in ("row", "null", "number", "hash"))
-    found = groups(df, key, text, shingle, words, radius, recall)
-    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), "text_hash")).alias("x"))
-    chosen = least.select(F.col("x.n").alias(null), F.col("x.i").alias(number), F.col("x.text_hash").alias(hashed))
-    number_of = F.col(f"`{key}`").cast("long")
+    whole, number_of = F.col(f"`{text}`").cast("string"), F.col(f"`{key}`").cast("long")
+
+    def described(i, h, t):
+        hashes = shingle_hashes(t, shingle)
+        return i, h, [_signed(x) for x in _fingerprint(hashes, words)], len(np.unique(hashes))
+
+    docs = df.select(number_of.alias("doc_id"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
+    docs = map_rows(docs, lambda: described, "doc_id long, text_hash long, fp array<long>, size long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("number"))).alias("x")
+    nodes = docs.groupBy("text_hash").agg(first, F.first("fp").alias("fp"), F.first("size").alias("size"))
+    nodes = checkpoint(nodes.select("text_hash", "x.null", "x.number", "fp", "size"))
+    tables = sampled_tables(64 * words, differ, table_width(nodes.count()), recall)
+    shared = shared_families(nodes, radius, tables, words, tile, weight)
+
+    texts = df.select(number_of.isNull().alias("null"), F.coalesce(number_of, F.lit(0)).alias("number"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
+    texts = texts.join(shared, ["null", "number", "text_hash"]).dropDuplicates(["text_hash"])
+    sets = map_rows(
+        texts.select("text_hash", "family", "chunks", "text"),
+        lambda: lambda h, f, c, t: (h, f, c, np.unique(shingle_hashes(t, shingle)).tobytes()),
+        "text_hash long, family long, chunks int, set binary",
+    )
+    roots = connected_components(verified(sets, Fraction(str(similarity)))).select(F.col("node").alias("text_hash"), "root")
+    least = nodes.join(roots, "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root"))
+    least = least.agg(F.min(F.struct("null", "number", "text_hash")).alias("x"))
+    chosen = least.select(F.col("x.null").alias(null), F.col("x.number").alias(number), F.col("x.text_hash").alias(hashed))
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(held), number_of.isNull().alias(null),
-        F.coalesce(number_of, F.lit(0)).alias(number), F.xxhash64(F.col(f"`{text}`").cast("string")).alias(hashed),
+        F.coalesce(number_of, F.lit(0)).alias(number), F.xxhash64(whole).alias(hashed),
     )
     kept = rows.join(chosen, [null, number, hashed]).dropDuplicates([null, number, hashed])
     return kept.select(f"{held}.*")
