@@ -42,3 +42,14 @@ def test_verified_tiles():
                     old, new = max(want[i], want[j]), min(want[i], want[j])
                     want = [new if w == old else w for w in want]
         assert simhash._similar(sets, side, Fraction(4, 5)).tolist() == want
+
+
+def test_repeated_lines(spark):
+    """A repeated line neither links unrelated texts nor parts texts that differ only in how often it stands."""
+    line = " ".join(f"line{i}" for i in range(14))
+    own = [" ".join(f"{name}{i}" for i in range(200)) for name in "xyz"]
+    apart = [(f"{own[0]} {line}" + f" {line}" * 29, f"{own[1]} {line}" + f" {line}" * 29)]
+    often = [(f"{k}{own[2]} {line} {line}", f"{k}{own[2]} {line}" + f" {line}" * 59) for k in range(20)]
+    often = [tuple(t.replace("z", f"z{k}q").replace("line", f"line{k}q") for t in p) for k, p in enumerate(often)]
+    kept = _kept(spark, apart + often)
+    assert kept[0] and not any(kept[1:])
