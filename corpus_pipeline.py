@@ -26,11 +26,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a language (no letters, null texts, or like no known language) go; a null ``lang`` takes the
     predicted one.
 
-    Prototypes are learned from the rows of ``docs`` that have a language.
+    Prototypes are learned from the rows of ``docs`` that have a language. If that gives none, only null and letterless
+    texts go, and a null ``lang`` stays null.
     """
     model = language.fit(docs)
 
-    def accepted(t: str | None) -> str:
+    def accepted(t: str | None) -> str | None:
+        if not model.langs:
+            return None if any(map(str.isalpha, (t or "").lower())) else "und"
         name, score = model.predict(t)
         strange = score < MIN_SCORE and name != "und" and sum(map(str.isalpha, t)) >= MIN_LETTERS
         return "und" if strange else name
