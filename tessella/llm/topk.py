@@ -25,18 +25,18 @@ from tessella.session import checkpoint
 SCALE, BUCKET_ROWS, QUERY_ROWS = 1024, 16384, 2048
 COORDINATE_AT, FOCUS = 0.6, 3
 SLACK = 1e-9
-#: Vectors whose scaled squared length is not below this could overflow a long score.
-MOST = float(2**61)
+#: Scaled components are longs: greater ones cannot be held.
+MOST = float(2**63 // SCALE)
 
 
 def quantized(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``vec_id, v array<long>, norm``: each component x as floor(SCALE * x); each distinct (id, vector) once.
 
-    Rows with a null id, a null vector, a null or non-finite component, or a length from about 1.5e6 on are left out.
+    Rows with a null id, a null vector, a null or non-finite component, or one that scaled is no long (from 2^53 on) are left out.
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("x"))
-    sound = rows.where("vec_id is not null and x is not null and forall(x, e -> e is not null and not isnan(e) and abs(e) < 1e15)")
-    sound = sound.where(F.aggregate("x", F.lit(0.0), lambda s, e: s + (e * SCALE - 1) * (e * SCALE - 1) + 2) < MOST)
+    sound = rows.where("vec_id is not null and x is not null and forall(x, e -> e is not null and not isnan(e))")
+    sound = sound.where(F.forall("x", lambda e: F.abs(e) < MOST))
     ints = sound.select("vec_id", F.transform("x", lambda e: F.floor(e * SCALE).cast("long")).alias("v")).distinct()
     return ints.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))))
 
@@ -48,17 +48,30 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact products; in doubles where every sum stays below 2^53, else in 64-bit integers."""
-    big = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    """Exact products; in doubles where every sum stays below 2^53, else in 64-bit integers.
+
+    Sums that wrap around are right where the product itself is a long; pairs for which doubles cannot tell are computed in
+    Python integers, in an object array.
+    """
+    big = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
     if big < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    found = q @ c.T
+    if big >= 2**62:
+        a, b = q.astype(np.float64), c.astype(np.float64).T
+        error = (np.abs(a) @ np.abs(b)) * (q.shape[1] + 4) * 2.0**-52
+        unsure = np.argwhere(np.abs(a @ b) + error >= 2**62).tolist()
+        if unsure:
+            found = found.astype(object)
+            for i, j in unsure:
+                found[i, j] = sum(x * y for x, y in zip(q[i].tolist(), c[j].tolist()))
+    return found
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
     """(query row, candidate row, score) arrays of each query's best k candidates that can reach its theta.
 
-    theta: each query's k-th best score so far, -inf if unknown. Ties go to the smaller id; a query's own id is no candidate.
+    theta: each query's k-th best score so far, as a double, -inf if unknown. Ties go to the smaller id; a query's own id is no candidate.
     """
     qn, cn = np.sqrt((q.astype(np.float64) ** 2).sum(1)), np.sqrt((c.astype(np.float64) ** 2).sum(1))
     by_norm = np.lexsort((ids, -cn))
@@ -69,8 +82,14 @@ def search(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, ids: np.ndarray,
     out = []
 
     def keep(i: int, rows: np.ndarray, scores: np.ndarray) -> None:
-        ok = (ids[rows] != q_ids[i]) & (scores >= theta[i])
+        ok = (ids[rows] != q_ids[i]) & (scores.astype(np.float64) >= theta[i])
         rows, scores = rows[ok], scores[ok]
+        if scores.dtype == object:
+            best = sorted(range(len(rows)), key=lambda j: (-scores[j], ids[rows[j]]))[:k]
+            rows, scores = rows[best], scores[best]
+            if any(not -(2**63) <= x < 2**63 for x in scores):
+                raise OverflowError("a score among a bucket's best does not fit in a long")
+            scores = scores.astype(np.int64)
         if len(rows) > k:
             edge = np.partition(scores, -k)[-k]
             rows, scores = rows[scores >= edge], scores[scores >= edge]
