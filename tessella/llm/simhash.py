@@ -44,6 +44,10 @@ TILE = 4096
 ITEMS = 1 << 15
 LARGE, LARGE_STEP = 512, 128
 SALTS = 32
+#: So many keys of more than ``TILE`` rows are broadcast (16 bytes each); more are joined by a shuffle.
+HEAVY = 50_000
+#: Bits of a sampled mask. Keys of chance hold n / 2^WIDTH fingerprints; a wider mask takes more tables for the same recall.
+WIDTH = 14
 
 _LANES = np.array([sum(1 << (8 * j) for j in range(8) if b >> j & 1) for b in range(256)], np.uint64)
 _STEP = 0x9E3779B97F4A7C15
@@ -137,11 +141,12 @@ def _planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(packed).view(np.uint64)
 
 
-def close_pairs(queries: np.ndarray, blocks: np.ndarray, items: Iterator[tuple[np.ndarray, np.ndarray]], radius: int):
+def close_pairs(queries: np.ndarray, blocks: np.ndarray, items: Iterator[tuple[np.ndarray, np.ndarray]], radius: int, place: np.ndarray | None = None):
     """Yields (query, candidate) index arrays of the pairs within ``radius``.
 
     ``queries``: n x w numbers; ``blocks``: bit planes as from ``_planes``; ``items``: index arrays of queries and of the blocks
     that each is held against. Counters have as many bits as radius + 1 needs, with one sticky word for overflow.
+    ``place``: where each query itself stands in the blocks; the lanes of its block up to its own are then left out.
     """
     bits = len(blocks)
     qbits = np.unpackbits(queries.view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little").T
@@ -151,6 +156,9 @@ def close_pairs(queries: np.ndarray, blocks: np.ndarray, items: Iterator[tuple[n
     for qi, bi in items:
         counters = [np.full(len(qi), 0xFFFFFFFFFFFFFFFF if start >> d & 1 else 0, np.uint64) for d in range(depth)]
         over = np.zeros(len(qi), np.uint64)
+        if place is not None:
+            mine = place[qi] // 64 == bi
+            over[mine] = np.uint64(0xFFFFFFFFFFFFFFFF) >> (63 - place[qi[mine]] % 64).astype(np.uint64)
         for p in range(bits):
             carry = blocks[p][bi] ^ flip[p][qi]
             for d in range(depth):
@@ -158,7 +166,7 @@ def close_pairs(queries: np.ndarray, blocks: np.ndarray, items: Iterator[tuple[n
                 counters[d] = c ^ carry
                 carry = carry & c
             over |= carry
-            if p > radius and p % 4 == 3:
+            if p > radius and p % 8 == 7:
                 live = np.flatnonzero(over != np.uint64(0xFFFFFFFFFFFFFFFF))
                 if len(live) < 0.8 * len(qi):
                     qi, bi, over = qi[live], bi[live], over[live]
@@ -193,21 +201,14 @@ class _Union:
                 root[:] = jumped
 
 
-def _items(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query rows of each group against its blocks, about ITEMS at a time."""
-    held_q, held_b, n = [], [], 0
-    for (q0, q1), (b0, b1) in zip(left, right):
-        step = max(1, ITEMS // max(1, b1 - b0))
-        for a in range(q0, q1, step):
-            q = np.arange(a, min(q1, a + step))
-            held_q.append(np.repeat(q, b1 - b0))
-            held_b.append(np.tile(np.arange(b0, b1), len(q)))
-            n += len(held_q[-1])
-            if n >= ITEMS:
-                yield np.concatenate(held_q), np.concatenate(held_b)
-                held_q, held_b, n = [], [], 0
-    if n:
-        yield np.concatenate(held_q), np.concatenate(held_b)
+def _items(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every row against its blocks first..last, ITEMS at a time."""
+    counts = last - first + 1
+    ends = np.cumsum(counts)
+    for at in range(0, int(ends[-1]), ITEMS):
+        n = np.arange(at, min(at + ITEMS, int(ends[-1])))
+        q = np.searchsorted(ends, n, side="right")
+        yield q, first[q] + n - (ends[q] - counts[q])
 
 
 def _large(fps: np.ndarray, queries: np.ndarray, rows: np.ndarray, union: _Union, radius: int) -> None:
@@ -233,32 +234,29 @@ def _large(fps: np.ndarray, queries: np.ndarray, rows: np.ndarray, union: _Union
 
 def _groups(fps: np.ndarray, keys: np.ndarray, chunk: np.ndarray, tile: np.ndarray, radius: int) -> np.ndarray:
     """Local roots of rows sorted by key. ``tile``: -1 where all of a key's rows meet; 1 where those of chunk 0 meet
-    those of chunk 1."""
+    those of chunk 1.
+
+    The rows of small keys are laid out without gaps, so a block holds many of them; a row meets the blocks from its own to
+    the last of its key. What stands before it has met it already; a hit on a neighbouring key's row is a close pair like any other.
+    """
     cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    ends = np.append(cuts[1:], len(keys))
-    spans, right, parts, width = [], [], [], 0
+    sizes = np.diff(np.append(cuts, len(keys)))
     union = _Union(len(fps))
-    for s, e in zip(cuts.tolist(), ends.tolist()):
-        if e - s < 2:
-            continue
-        if tile[s] == 1:
-            middle = s + int(np.count_nonzero(chunk[s:e] == 0))
-            if s < middle < e:
-                _large(fps, np.arange(s, middle), np.arange(middle, e), union, radius)
-        elif e - s > LARGE:
-            _large(fps, np.arange(s, e), np.arange(s, e), union, radius)
-        else:
-            size = -(-(e - s) // 64)
-            spans.append((s, e))
-            right.append((width, width + size))
-            width += size
-            parts.append(np.pad(np.arange(s, e), (0, size * 64 - (e - s)), constant_values=-1))
-    if parts:
-        order = np.concatenate(parts)
-        for q, c in close_pairs(fps, _planes(fps[np.maximum(order, 0)]), _items(spans, right), radius):
-            c = order[c]
-            keep = (c >= 0) & (c != q)
-            union.add(q[keep], c[keep])
+    sided = tile[cuts] == 1
+    small = (sizes > 1) & (sizes <= LARGE) & ~sided
+    if small.any():
+        ends = np.cumsum(sizes[small])
+        order = np.repeat(cuts[small] - (ends - sizes[small]), sizes[small]) + np.arange(ends[-1])
+        place, last = np.arange(len(order)), np.repeat((ends - 1) // 64, sizes[small])
+        for q, c in close_pairs(fps[order], _planes(fps[order]), _items(place // 64, last), radius, place):
+            real = c < len(order)
+            union.add(order[q[real]], order[c[real]])
+    for s, n, two in zip(*(x[(sizes > 1) & ~small].tolist() for x in (cuts, sizes, sided))):
+        middle = s + int(np.count_nonzero(chunk[s : s + n] == 0)) if two else s
+        if not two:
+            _large(fps, np.arange(s, s + n), np.arange(s, s + n), union, radius)
+        elif s < middle < s + n:
+            _large(fps, np.arange(s, middle), np.arange(middle, s + n), union, radius)
     return union.root
 
 
@@ -286,7 +284,8 @@ def links(distinct: DataFrame, radius: int, tables: list[tuple[int, ...]], words
     keyed = distinct.select("fp", F.explode(F.array(*[ordered(t, m) for t, m in enumerate(tables)])).alias("key"))
     keyed = keyed.select("fp", F.xxhash64("key.t", *[f"key.{n}" for n in names]).alias("key"))
     heavy = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    heavy = heavy.select("key", F.ceil(F.col("n") * 1.05 / tile).cast("int").alias("chunks"))
+    heavy = checkpoint(heavy.select("key", F.ceil(F.col("n") * 1.05 / tile).cast("int").alias("chunks")))
+    heavy = F.broadcast(heavy) if heavy.count() <= HEAVY else heavy.hint("merge")
     placed = keyed.join(heavy, "key", "left").withColumn(
         "mine", F.pmod(F.xxhash64("fp", F.lit(11)), F.coalesce("chunks", F.lit(1))).cast("int")
     )
@@ -341,13 +340,21 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], words: int):
         yield tuple(np.ascontiguousarray(np.concatenate(x)) for x in zip(*rest))
 
 
-def table_width(n: int) -> int:
-    """Bits of a sampled mask for n fingerprints: with 8 bits less than n has, keys of chance hold some hundreds."""
-    return max(12, n.bit_length() - 8)
+def exact_tables(n: int, bits: int, radius: int) -> list[tuple[int, ...]]:
+    """The pigeonhole tables that are cheapest for n fingerprints. All choices find the same pairs: every one within the radius.
+
+    More parts mean more tables, but wider keys: a row costs, in each table, its shuffle (about as much as meeting eight
+    blocks) and the blocks of 64 rows that share its key by chance.
+    """
+    def cost(parts: int) -> float:
+        width = bits * (parts - radius) // parts
+        return math.comb(parts, radius) * (8 + n / 2.0**width / 64)
+
+    return pigeonhole_tables(bits, radius, min(range(radius + 1, min(bits, 2 * radius + 2) + 1), key=cost))
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, radius: int = 4,
-           recall: float | None = None, tile: int = TILE) -> DataFrame:
+           recall: float | None = None, tile: int = TILE, width: int = WIDTH) -> DataFrame:
     """``doc_id, text_hash, fp array<long>, root array<long>, component_id`` for every row of ``df``.
 
     component_id is the least doc_id of the rows whose fingerprints are linked, directly or through others; root is
@@ -360,20 +367,17 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     docs = checkpoint(fingerprints(df, key, text, shingle, words))
     distinct = checkpoint(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     bits = 64 * words
-    if recall is None:
-        tables = pigeonhole_tables(bits, radius, radius + 1)
-    else:
-        tables = sampled_tables(bits, radius, table_width(distinct.count()), recall)
+    tables = exact_tables(distinct.count(), bits, radius) if recall is None else sampled_tables(bits, radius, width, recall)
     edges = links(distinct.select("fp"), radius, tables, words, tile)
-    roots = connected_components(edges).select(F.col("node").alias("fp"), "root")
-    linked = distinct.join(roots, "fp")
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    # a component may hold any part of the fingerprints: it is met by salts, not in one task
-    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(ids, ["root", "salt"])
-    alone = distinct.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
-    named = alone.unionByName(linked.select("fp", "root", "component_id"))
-    return docs.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    roots = connected_components(edges).select(F.col("node").alias("fp"), "root").hint("merge")
+    named = checkpoint(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    ids = ids.where("n > 1").select("root", "component_id")
+    # a component may hold any part of the fingerprints, a fingerprint any part of the rows: both are met by salts
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    named = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(ids, ["root", "salt"], "left")
+    named = named.select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
+    return docs.join(named.hint("merge"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def shared_families(nodes: DataFrame, radius: int, tables: list[tuple[int, ...]], words: int, tile: int, weight: int) -> DataFrame:
@@ -382,7 +386,7 @@ def shared_families(nodes: DataFrame, radius: int, tables: list[tuple[int, ...]]
     A family holds all texts that SimHash may take for similar; ``chunks`` is into how many parts it is cut to be compared.
     """
     edges = links(checkpoint(nodes.select("fp").distinct()), radius, tables, words)
-    roots = connected_components(edges).select(F.col("node").alias("fp"), "root")
+    roots = connected_components(edges).select(F.col("node").alias("fp"), "root").hint("merge")
     named = nodes.join(roots, "fp", "left").select(
         "text_hash", "null", "number", "size", F.xxhash64(F.coalesce("root", "fp")).alias("family")
     )
@@ -458,7 +462,7 @@ def verified(sets: DataFrame, share: Fraction) -> DataFrame:
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, words: int = 4, radius: int = 64,
-             differ: int = 45, recall: float = 0.99, similarity: float = 0.8, tile: int = 1024, weight: int = 1 << 20) -> DataFrame:
+             differ: int = 45, recall: float = 0.98, similarity: float = 0.8, tile: int = 1024, weight: int = 1 << 19, width: int = WIDTH) -> DataFrame:
     """The rows of ``df``, one for each group of near duplicates: that with the least key, of equal keys the least text
     hash, of equal rows any. All columns stay as they are.
 
@@ -479,7 +483,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("number"))).alias("x")
     nodes = docs.groupBy("text_hash").agg(first, F.first("fp").alias("fp"), F.first("size").alias("size"))
     nodes = checkpoint(nodes.select("text_hash", "x.null", "x.number", "fp", "size"))
-    tables = sampled_tables(64 * words, differ, table_width(nodes.count()), recall)
+    tables = sampled_tables(64 * words, differ, width, recall)
     shared = shared_families(nodes, radius, tables, words, tile, weight)
 
     texts = df.select(number_of.isNull().alias("null"), F.coalesce(number_of, F.lit(0)).alias("number"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
@@ -489,7 +493,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
         lambda: lambda h, f, c, t: (h, f, c, np.unique(shingle_hashes(t, shingle)).tobytes()),
         "text_hash long, family long, chunks int, set binary",
     )
-    roots = connected_components(verified(sets, Fraction(str(similarity)))).select(F.col("node").alias("text_hash"), "root")
+    roots = connected_components(verified(sets, Fraction(str(similarity)))).select(F.col("node").alias("text_hash"), "root").hint("merge")
     least = nodes.join(roots, "text_hash", "left").groupBy(F.coalesce("root", "text_hash").alias("root"))
     least = least.agg(F.min(F.struct("null", "number", "text_hash")).alias("x"))
     chosen = least.select(F.col("x.null").alias(null), F.col("x.number").alias(number), F.col("x.text_hash").alias(hashed))
