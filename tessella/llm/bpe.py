@@ -26,6 +26,8 @@ from tessella.llm.common import map_rows
 
 MAX_FILE_BYTES = 64 << 20
 CACHE_WORDS = 100_000
+#: Longer runs and words are not remembered.
+REMEMBERED = 48
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -153,7 +155,8 @@ class Bpe:
 class _Seen(dict):
     """Run without white space, or a space and a special token -> (decimal ids, decoded strings), each joined by a space.
 
-    Words are remembered apart, as many runs differ by punctuation only. Either memory is emptied when it is full.
+    Words are remembered apart, as many runs differ by punctuation only. Either memory is emptied when it is full. What is longer
+    than ``REMEMBERED`` characters is encoded each time, so both memories are bounded in bytes too.
     """
 
     def __init__(self, bpe: Bpe, most: int):
@@ -164,6 +167,8 @@ class _Seen(dict):
         return " ".join(map(str, ids)), self.bpe.decode(ids)
 
     def word(self, word: str) -> tuple[str, str]:
+        if len(word) > REMEMBERED:
+            return self._forms(self.bpe.merge(word))
         out = self.known.get(word)
         if out is None:
             if len(self.known) >= self.most:
@@ -182,9 +187,10 @@ class _Seen(dict):
             else:
                 found = [x for w in bpe.words(text) if (x := self.word(w))[0]]
                 out = (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
-        if len(self) >= self.most:
-            self.clear()
-        self[run] = out
+        if len(run) <= REMEMBERED:
+            if len(self) >= self.most:
+                self.clear()
+            self[run] = out
         return out
 
 

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import slices
 
 CONTEXT, EOS, WINDOW, CACHE = 2048, 50256, 1 << 21, 100_000
+#: Longer runs are encoded each time, so that the memory is bounded in bytes too.
+REMEMBERED = 48
 MAX_FILE_BYTES = 64 << 20
 SCHEMA = (
     "pack_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, "
@@ -110,9 +112,11 @@ class Ids:
         for r in runs[1:]:
             found = seen.get(r)
             if found is None:
-                if len(seen) >= self.most:
-                    seen.clear()
-                found = seen[r] = self._raw(" " + r)
+                found = self._raw(" " + r)
+                if len(r) <= REMEMBERED:
+                    if len(seen) >= self.most:
+                        seen.clear()
+                    seen[r] = found
             out.append(found)
         out.append(self.eos)
         return b"".join(out)
