@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import map_rows, slices
+from tessella.session import checkpoint
 
 MAX_ROWS, MAX_FEATURES, THRESHOLD, SEED = 20_000, 1000, 0.7, 17
 PULL, RIDGE, STEPS = 10.0, 1e-4, 400
@@ -141,17 +142,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         where: Column | None = None, max_rows: int = MAX_ROWS, pull: float = PULL) -> Model:
     """A model from the texts of ``docs`` that ``labels`` (key, label 0 or 1) marks and ``where``, a test of the key, lets in.
 
-    Rows with a null key, label or text are left out. Without rows of both labels the score is the share of label 1.
+    Rows with a null key, label or text are left out. A key counts once: with label 1 if any of its labels is 1, with the text
+    of least hash if it has several. Without rows of both labels the score is the share of label 1.
     """
     marked = (labels if where is None else labels.where(where)).select(
         F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")
-    ).where("doc_id is not null and y in (0, 1)")
+    ).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     n = marked.count()
     if n > max_rows:
         draw = F.xxhash64("doc_id", F.lit(SEED)).bitwiseAND(F.lit(2**63 - 1))
         marked = marked.where(draw <= F.lit(int(max_rows / n * 2**63)))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = rows.where("text is not null").join(F.broadcast(marked), "doc_id").select("text", "y")
+    rows = rows.where("text is not null").join(F.broadcast(marked), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
+    rows = checkpoint(rows.groupBy("doc_id").agg(one, F.first("y").alias("y")).select("one.text", "y"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
