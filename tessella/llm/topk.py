@@ -5,7 +5,7 @@ buckets of about ``bucket_rows`` by a hash of the id, so equal lengths and copie
 ``query_rows``; each (bucket, block) is one task group. First the bucket of the greatest lengths gives every query its k-th
 best score so far, theta. In any other bucket, the local cosine threshold t = theta / (|q| max |p|) decides:
 
-* t > 1: no vector of the bucket can reach theta, the bucket is passed over;
+* t > 1: no vector of the bucket can reach theta, the query passes the bucket over; a bucket is sent only to blocks with a query left;
 * t >= ``COORDINATE_AT``: coordinate pruning: a unit vector within cosine t of the query's has each coordinate in an
   interval around the query's; the bucket is cut by the sorted values of the query's largest coordinates;
 * else length pruning: the vectors, sorted by norm, are cut where |p| |q| < theta.
@@ -166,25 +166,28 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, bucket_rows: int = BUC
     sizes = checkpoint(counts.select("dim", "cell", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     name = (F.col("cell").cast("long") * F.lit(2**32) + F.col("part")).alias("bucket")
-    placed = rows.join(sizes, ["dim", "cell"]).withColumn("part", part).select("dim", name, "vec_id", "v")
+    placed = rows.join(sizes, ["dim", "cell"]).withColumn("part", part).select("dim", name, "vec_id", "v", "norm")
     asked = rows.where(is_query)
     blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks"))
     blocks = checkpoint(blocks)
-    # each bucket meets each block of queries once
-    placed = placed.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int")
-    asked = asked.join(blocks, "dim").select("dim", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), block.alias("block"))
-    buckets = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("dim", name)
+    asked = asked.join(blocks, "dim").select("dim", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "norm", block.alias("block"))
+    buckets = checkpoint(placed.groupBy("dim", "bucket").agg(F.max("norm").alias("top")))
     heads = buckets.groupBy("dim").agg(F.max("bucket").alias("bucket"))
     first = asked.join(heads, "dim").withColumn("theta", F.lit(float("-inf")))
-    heads_rows = placed.join(heads, ["dim", "bucket"], "left_semi")
+    every = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "block")
+    heads_rows = placed.join(heads.join(every, "dim"), ["dim", "bucket"])
     begun = checkpoint(_hits(first, heads_rows, k))
     kth = begun.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("s"))
     kth = kth.select("query_id", F.when(F.col("n") >= k, F.col("s")).otherwise(float("-inf")).alias("theta"))
     rest = buckets.join(heads, ["dim", "bucket"], "left_anti")
-    more = asked.join(kth, "query_id", "left").join(rest, "dim")
-    more = more.withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
-    found = begun.union(_hits(more, placed.join(rest, ["dim", "bucket"], "left_semi"), k))
+    # a bucket that no query of a block can still gain from (t > 1) is passed over before its vectors are sent there
+    bars = asked.join(kth, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
+    open_ = F.col("theta") <= F.col("norm") * F.col("top") * (1 + SLACK)
+    meet = checkpoint(bars.select("dim", "block", "query_id", "norm", "theta").join(rest, "dim").where(open_).select("query_id", "theta", "dim", "bucket", "block"))
+    more = asked.select("query_id", "q").join(meet, "query_id")
+    alive = meet.select("dim", "bucket", "block").distinct()
+    found = begun.union(_hits(more, placed.join(alive, ["dim", "bucket"]), k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
