@@ -1,12 +1,12 @@
 """License scans with a positional index of rare words.
 
-Method: templates (license notices) are indexed by word: postings of (template, place in it). Inverse document
-frequencies of the license words are counted over all documents. In a file, each template is looked up by those
-of its words that the file has and that are rarest (``RARE`` of them, by IDF); every occurrence at word p
+Method: templates (license notices) are indexed by word: postings of (template, places in it). Inverse document
+frequencies of the license words are counted over all documents. A file's license words are looked up in the postings
+from the highest IDF down, until each template has its ``RARE`` words; every occurrence at word p
 that stands at place r in the template votes for a start p - r, so postings are intersected by relative
-position. A start with enough votes is verified: all mandatory key phrases must stand in the file at
-their places, and the share of template words at their places must reach ``COVER``. The short base phrases go through the
-same index with one rare word, and must match word for word.
+position. A start with enough votes is verified: the mandatory key phrases, which tell versions apart, must stand in the file at
+their places, and the share of template words at their places must reach ``COVER`` (all of them in notices of up to
+``SHORT`` words). The short base phrases go through the same index with one rare word, and must match word for word.
 
 Words: A-Z in lower case, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` (on UTF-8 bytes: letters, digits and all bytes from 128).
 """
@@ -24,29 +24,49 @@ from pyspark.sql import functions as F
 from tessella.llm.common import map_rows, slices
 
 RARE, VOTES, COVER = 4, 2, 0.75
+#: Notices of up to this many words must stand word for word.
+SHORT = 10
 #: Phrases whose every place counts, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Label, mandatory key phrase, license notice.
+#: Label, mandatory key phrases, license notice.
 TEMPLATES = """
-mit | permission is hereby granted | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit | permission is hereby granted free of charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction
 mit | mit license | released under the mit license
 mit | mit license | licensed under the mit license
 mit | mit license | distributed under the terms of the mit license
 apache-2 | apache license version 2 | licensed under the apache license version 2 0
 apache-2 | apache license | you may not use this file except in compliance with the license you may obtain a copy of the license at the apache license
 apache-2 | www apache org licenses | you may obtain a copy of the license at http www apache org licenses license 2 0
+cc-by | cc by 4 | licensed under cc by 4 0
+cc-by | creative commons attribution 4 | this work is licensed under a creative commons attribution 4 0 international license
+cc-by-sa | cc by sa | licensed under cc by sa 4 0
+cc-by-sa | creative commons attribution sharealike | this work is licensed under a creative commons attribution sharealike 4 0 international license
 cc-by-nc | cc by nc | licensed under cc by nc 4 0
 cc-by-nc | creative commons attribution noncommercial | this work is licensed under a creative commons attribution noncommercial 4 0 international license
-cc-by-sa | cc by sa | licensed under cc by sa 4 0
-cc-by | creative commons attribution | this work is licensed under a creative commons attribution 4 0 international license
+cc-by-nd | creative commons attribution noderivatives | this work is licensed under a creative commons attribution noderivatives 4 0 international license
+cc0 | cc0 1 0 | to the public domain under cc0 1 0
+cc0 | waived all copyright | the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights and has waived all copyright
 bsd | redistribution and use in source and binary forms | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
-gpl | gnu general public license | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+bsd-2 | bsd 2 clause | licensed under the bsd 2 clause license
+bsd-3 | bsd 3 clause | licensed under the bsd 3 clause license
+bsd-3 | may be used to endorse or promote products | neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+gpl | gnu general public license | under the terms of the gnu general public license
 gpl | gnu general public license | released under the gnu general public license
+gpl | gnu general public license | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+gpl-2 | gnu general public license + either version 2 of the license | the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
+gpl-3 | gnu general public license + either version 3 of the license | the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
 lgpl | gnu lesser general public license | under the terms of the gnu lesser general public license
-mpl-2 | mozilla public license | this source code form is subject to the terms of the mozilla public license v 2 0
+lgpl-2.1 | gnu lesser general public license + either version 2 1 of the license | the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version
+lgpl-3 | gnu lesser general public license + either version 3 of the license | the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version
+agpl-3 | gnu affero general public license + either version 3 of the license | the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version
+mpl-2 | mozilla public license v 2 0 | this source code form is subject to the terms of the mozilla public license v 2 0
+epl-2 | eclipse public license | this program and the accompanying materials are made available under the terms of the eclipse public license 2 0
 isc | permission to use copy modify | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-unlicense | released into the public domain | this is free and unencumbered software released into the public domain
-proprietary | all rights reserved | copyright all rights reserved
+zlib | must not be misrepresented | the origin of this software must not be misrepresented you must not claim that you wrote the original software
+boost-1 | boost software license | distributed under the boost software license version 1 0
+unlicense | unencumbered software released into the public domain | this is free and unencumbered software released into the public domain
+proprietary | copyright all rights reserved | copyright all rights reserved
+proprietary | unauthorized copying of this file | unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential
 """
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label string, start long, words int, cover double>>"
 
@@ -60,9 +80,9 @@ def words_of(text: str | None) -> list[bytes]:
 class Template:
     def __init__(self, label: str, notice: str, key: str | None = None):
         self.label, self.words, self.exact = label, words_of(notice), key is None
-        phrase = words_of(key) if key else self.words
-        self.key = next(i for i in range(len(self.words)) if self.words[i : i + len(phrase)] == phrase)
-        self.phrase = phrase
+        phrases = [words_of(x) for x in key.split(" + ")] if key else [self.words]
+        #: The place and the words of each phrase that must stand.
+        self.keys = [(next(i for i in range(len(self.words)) if self.words[i : i + len(x)] == x), x) for x in phrases]
 
 
 def templates() -> list[Template]:
@@ -72,42 +92,56 @@ def templates() -> list[Template]:
 
 
 class Index:
-    """Templates with their words in the order of falling IDF; ``scan`` reads a file's words."""
+    """Postings of the license words, and the words in the order of falling IDF; ``scan`` reads a file's words."""
 
     def __init__(self, frequency: dict[str, int], documents: int):
         self.templates = templates()
         idf = {w: math.log((1 + documents) / (1 + frequency.get(w.decode(), 0))) for t in self.templates for w in t.words}
-        self.ranked = [sorted(set(t.words), key=lambda w: (-idf[w], w)) for t in self.templates]
-        self.places = [{w: [i for i, x in enumerate(t.words) if x == w] for w in set(t.words)} for t in self.templates]
-        #: A file without any word of a key phrase cannot match; the rarest of each phrase is looked for first.
-        self.gates = [max(t.phrase, key=lambda w: (idf[w], w)) for t in self.templates]
+        self.order = {w: i for i, w in enumerate(sorted(idf, key=lambda w: (-idf[w], w)))}
+        #: Word -> the templates that it stands in, each with its places there.
+        self.postings: dict[bytes, list[tuple[int, list[int]]]] = {}
+        for k, t in enumerate(self.templates):
+            for w in set(t.words):
+                self.postings.setdefault(w, []).append((k, [i for i, x in enumerate(t.words) if x == w]))
+        #: A template cannot match without the rarest word of its key phrases; without any of these words the file is done.
+        self.gates = [min((w for _, x in t.keys for w in x), key=self.order.__getitem__) for t in self.templates]
         self.gate = frozenset(self.gates)
+        self.wanted = [1 if t.exact else RARE for t in self.templates]
+
+    def votes(self, words: list[bytes], present: set[bytes]) -> dict[int, Counter]:
+        """For each template that the file's words can still complete, the starts that its rarest words vote for.
+
+        The file's license words are looked up from the highest IDF down; a template takes the first ``RARE`` of its words
+        (a base phrase one), so what a file looks up is bounded by the index and not by its length.
+        """
+        open_ = {k: self.wanted[k] for k, g in enumerate(self.gates) if g in present and (not self.templates[k].exact or present.issuperset(self.templates[k].words))}
+        looked: dict[bytes, list[tuple[int, list[int]]]] = {}
+        for w in sorted(present & self.order.keys(), key=self.order.__getitem__):
+            for k, places in self.postings[w]:
+                if open_.get(k, 0) > 0:
+                    open_[k] -= 1
+                    looked.setdefault(w, []).append((k, places))
+        out: dict[int, Counter] = {k: Counter() for k in open_}
+        for p, w in enumerate(words):
+            for k, places in looked.get(w, ()):
+                out[k].update([p - r for r in places])
+        return out
 
     def scan(self, words: list[bytes]) -> list[tuple[Template, int, float]]:
         """The (template, start, cover) of every verified place, each once."""
         present = set(words)
         if self.gate.isdisjoint(present):
             return []
-        todo = [k for k, g in enumerate(self.gates) if g in present]
-        rare = {k: [w for w in self.ranked[k] if w in present][: 1 if self.templates[k].exact else RARE] for k in todo}
-        wanted = {w for found in rare.values() for w in found}
-        where: dict[bytes, list[int]] = {w: [] for w in wanted}
-        for i, w in enumerate(words):
-            if w in where:
-                where[w].append(i)
         out = []
-        for k in todo:
+        for k, starts in sorted(self.votes(words, present).items()):
             t = self.templates[k]
-            if t.exact and not present.issuperset(t.words):
-                continue
-            votes = Counter(p - r for w in rare[k] for p in where[w] for r in self.places[k][w])
             least = 1 if t.exact else min(VOTES, len(t.words))
-            for start in sorted(s for s, n in votes.items() if n >= least):
-                at = start + t.key
-                if at < 0 or words[at : at + len(t.phrase)] != t.phrase:
+            whole = t.exact or len(t.words) <= SHORT
+            for start in sorted(s for s, n in starts.items() if n >= least):
+                if any(start + i < 0 or words[start + i : start + i + len(x)] != x for i, x in t.keys):
                     continue
                 cover = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words)) / len(t.words)
-                if cover >= (1.0 if t.exact else COVER):
+                if cover >= (1.0 if whole else COVER):
                     out.append((t, start, cover))
         return out
 
