@@ -1,6 +1,7 @@
 """Language identification with hyperdimensional profiles.
 
-Method: every letter has a fixed random vector of +1 and -1. A trigram's vector binds (multiplies) its letters'
+Method: every letter has a fixed random vector of +1 and -1: a to z one each, all other letters one of
+LETTERS - 27 further ones by code point, so that the table of bound pairs stays small. A trigram's vector binds (multiplies) its letters'
 vectors, each permuted (rotated) by its place; a text's vector bundles (adds) those of all its trigrams, and a
 language's prototype bundles the vectors of its training texts. A text takes the language whose prototype has the
 highest cosine with its own vector. Words are runs of letters in lower case, other characters make one gap.

@@ -60,3 +60,29 @@ def test_table_edges(spark):
     assert media.media_columns(df.limit(0)).count() == 0
     near = media.dct_hash(media.read_png(media.write_png(b"a" * 19200)))
     assert len(near) == 16
+
+
+def _slow_hash(image):
+    """The hash from its definition: band means, then every cosine sum by itself."""
+    import math
+
+    grey = [[int(sum(p)) for p in row] for row in image.tolist()]
+
+    def band(n, i):
+        lo = i * n // 32
+        return range(lo, max(lo + 1, (i + 1) * n // 32))
+
+    h, w = len(grey), len(grey[0])
+    mean = [[sum(grey[y][x] for y in band(h, i) for x in band(w, j)) / len(band(h, i)) / len(band(w, j)) for j in range(32)] for i in range(32)]
+    scale = lambda k: math.sqrt((1 if k == 0 else 2) / 32)
+    wave = [[scale(k) * math.cos(math.pi * (2 * x + 1) * k / 64) for x in range(32)] for k in range(8)]
+    low = [round(sum(mean[y][x] * wave[a][y] * wave[b][x] for y in range(32) for x in range(32)), 6) for a in range(8) for b in range(8)]
+    middle = sorted(low)[31]
+    return f"{int(''.join('1' if x > middle else '0' for x in low), 2):016x}"
+
+
+@pytest.mark.parametrize("rows", [1, 7, 40])
+def test_dct_hash_against_its_definition(rows):
+    rng = np.random.default_rng(rows)
+    image = rng.integers(0, 256, (rows, 64, 3), dtype=np.uint8)
+    assert media.dct_hash(image) == _slow_hash(image)
