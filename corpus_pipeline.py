@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, language, mixing, simhash, toxicity
 from tessella.llm.common import keep_rows, slices
-from tessella.session import checkpoint_dir, table
+from tessella.session import checkpoint_dir, remove, table
 
 #: A text of so many letters whose best cosine is lower is in none of the known languages (short texts are left alone).
 MIN_LETTERS, MIN_SCORE = 40, 0.08
@@ -55,23 +55,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among ``docs``, scores as toxic go."""
+    """Documents that the classifier, fitted on the labelled ones among ``docs``, scores as toxic go.
+
+    Null and empty texts score as texts without features and so stay; repeated rows are all kept or all go; null ids are
+    never labelled, but scored; without labels of both kinds nothing is learned, and only if all are toxic does everything go.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return keep_rows(docs, "text", lambda: lambda t: model.score(t) < toxicity.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with a similarity of 0.8 over shingles of five words, the one with the least id stays."""
+    """Of each group of documents with a similarity of 0.8 over shingles of five words, the one with the least id stays.
+
+    Null ids come last; of equal ids the text with the least hash stays, of rows alike in both any one. Texts are one
+    group if their sets of shingles are equal; a shorter text is one shingle; null texts and texts without words are one group.
+    """
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that fill each source's budget; the last of a source may be cut to its first tokens."""
+    """The documents that fill each source's budget; the last of a source may be cut to its first tokens.
+
+    Null texts and texts without tokens are never drawn; a null source or language is a leaf of its own (``none``); null ids
+    order as the empty text; repeated rows are drawn each; of one id the text with the lesser hash comes first.
+    """
     return mixing.mix_documents(docs, MIX_TOTAL, max_epochs=1)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of every document."""
+    """``doc_id, n_tokens, ids`` of every document; null and empty texts have none, null ids and repeated rows stay."""
     return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json")).drop("decoded")
 
 
@@ -88,10 +100,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what each returns is written to the shared folder and read by the next."""
+    """All stages over the documents; what each returns is written to the shared folder and read by the next.
+
+    A stage's input is deleted once its result is written whole; the last result stays, as the returned rows are read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

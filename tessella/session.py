@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a fresh local one where none is named (tests)."""
+    """The cluster's shared checkpoint folder, or a local one where none is named and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {sc.master} share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tessella-checkpoints"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder on whatever store Spark reaches it; nothing happens if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by files in the shared folder, so a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
