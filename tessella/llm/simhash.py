@@ -394,7 +394,10 @@ def shared_families(nodes: DataFrame, radius: int, tables: list[tuple[int, ...]]
     shared = named.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("sum")).where("n > 1")
     chunks = F.ceil(F.greatest(F.col("n") / tile, F.col("sum") / weight)).cast("int")
     shared = shared.select("family", F.greatest(F.lit(1), F.least(chunks, F.col("n").cast("int"))).alias("chunks"))
-    return named.join(shared, "family").select("text_hash", "null", "number", "family", "chunks")
+    # a family may hold any part of the texts: it is met by salts, not in one task
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    named = named.withColumn("salt", F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)).cast("int"))
+    return named.join(shared, ["family", "salt"]).select("text_hash", "null", "number", "family", "chunks")
 
 
 def _similar(sets: list[np.ndarray], side: np.ndarray | None, share: Fraction) -> np.ndarray:
@@ -469,7 +472,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     Near duplicates are texts whose sets of shingles (as 64-bit hashes) have a Jaccard similarity of ``similarity`` or more, directly or
     through others. SimHash, here over each shingle once, only proposes: texts that meet in a mask (a pair ``differ`` bits apart with chance ``recall``) and lie
     within ``radius`` bits, directly or through others, are a family, and within it every pair is held to the exact
-    similarity. At 0.8 over sets of equal size the expected difference is 39 of 256 bits with a deviation of 6.
+    similarity. At 0.8 over sets of equal size the expected difference is 39 of 256 bits with a deviation of 6, so that about 1 of 100
+    such pairs is not proposed, at 0.9 about 1 of 10,000. The masks are fixed by the parameters and do not depend on the table.
     """
     held, null, number, hashed = (fresh(df, x) for x in ("row", "null", "number", "hash"))
     whole, number_of = F.col(f"`{text}`").cast("string"), F.col(f"`{key}`").cast("long")
