@@ -47,6 +47,13 @@ def dispatch(kind: Column, gap_kind: Column) -> Column:
     )
 
 
+def routes(rows: DataFrame) -> DataFrame:
+    """``rows`` (kind, gap_kind, expected_route) with ``route`` and ``ok``: dispatch held against the labelled route. Rows without a
+    label are ok; this is an assertion about dispatch, and no score reads it."""
+    led = rows.withColumn("route", dispatch(F.col("kind"), F.col("gap_kind")))
+    return led.withColumn("ok", F.col("expected_route").isNull() | F.coalesce(F.col("route") == F.col("expected_route"), F.lit(False)))
+
+
 def last_verdict(verdicts: DataFrame, cap: int = MAX_ITERATIONS) -> DataFrame:
     """``question_id, used, kind, budget_hit``: where a question's loop ends among its numbered verdicts (``i`` from 0)."""
     if cap < 1:

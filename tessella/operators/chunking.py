@@ -168,10 +168,12 @@ def source_ref(most: int | None = None) -> Column:
 
 
 def subset(chunks: DataFrame, indices: list[int] | None = None, limit: int | None = None) -> DataFrame:
-    """The chunks of the given indices, each once, or each document's first ``limit`` chunks."""
+    """The chunks of the given indices, each once, or each document's first ``limit`` chunks; an index that no document has is an error."""
     if indices is not None:
-        if any(i < 0 for i in indices):
-            raise ValueError("chunk indices start at 0")
+        most = chunks.agg(F.max("chunk_index")).first()[0]
+        wrong = sorted({i for i in indices if i < 0 or most is None or i > most})
+        if wrong:
+            raise ValueError(f"chunk indices {wrong} are not between 0 and {most}")
         return chunks.where(F.col("chunk_index").isin(sorted(set(indices))))
     return chunks if limit is None else chunks.where(F.col("chunk_index") < limit)
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import canonical_term, slug, value_in_text
+from tessella.functions.text import canonical_term, slug, strip, value_in_text
 
 #: How closed values are written in sources, in lower case.
 SURFACES = {
@@ -70,15 +70,35 @@ def category(name: str, value: Column, found: Column, low: Column, hits: Column
     return out.otherwise("real_failure")
 
 
-#: The checks of each type: name and the column it reads.
+#: The checks of each type: name, the column it reads, and how that is looked for.
 CHECKS = {
-    "programs": [("asset", "asset_id"), ("indication", "indication"), ("region", "region"), ("stage", "stage")],
-    "regulatory_events": [("asset", "asset_id"), ("action", "action"), ("indication", "indication"), ("region", "region")],
-    "trials": [("phase", "phase"), ("indication", "indication")],
-    "market_metrics": [("subject", "subject"), ("value", "value")],
+    "programs": [("asset", "asset_id", "slug"), ("indication", "indication", "words"), ("region", "region", "surface"), ("stage", "stage", "surface")],
+    "regulatory_events": [("asset", "asset_id", "slug"), ("action", "action", "surface"), ("indication", "indication", "words"), ("region", "region", "surface")],
+    "trials": [("asset", "trial_name", "name"), ("indication", "indication", "words"), ("phase", "phase", "surface")],
+    "market_metrics": [("asset", "subject", "any word"), ("value", "value", "value")],
 }
 
 
+def _looked_for(how: str, column: str, low: Column) -> tuple[Column, Column, Column | None]:
+    """What is expected, whether the cited text has it, and for words how many of them it has."""
+    value = F.col(column)
+    inside = lambda name: (name != "") & slug(F.col("cited")).contains(name)
+    if how == "slug":
+        return value, inside(value), None
+    if how == "name":  # a trial's name as it stands, else its first asset
+        first = F.coalesce(F.get("asset_ids", F.lit(0)), F.lit(""))
+        named = F.coalesce(value != "", F.lit(False))
+        return F.when(named, value).otherwise(first), F.when(named, low.contains(F.lower(value))).otherwise(inside(first)), None
+    if how == "words":
+        hits, n = indication_hits(value, F.col("cited"))
+        return value, (n == 0) | (hits >= 0.5 * n), hits
+    if how == "any word":
+        return value, F.exists(F.filter(F.split(canonical_term(value), " "), lambda w: F.length(w) > 2), low.contains), None
+    if how == "value":
+        return value, value_in_text(value, low), None
+    return value, has_surface(low, value), None
+
+
 def ground(facts: DataFrame, kind: str) -> DataFrame:
     """One row for each fact and check: the columns of ``facts`` with ``name, expected, found, category``.
 
@@ -86,19 +106,8 @@ def ground(facts: DataFrame, kind: str) -> DataFrame:
     """
     low = F.lower("cited")
     made = []
-    for name, column in CHECKS[kind]:
-        value, hits = F.col(column), None
-        if name == "asset":
-            found = (value != "") & slug(F.col("cited")).contains(value)
-        elif name == "subject":
-            found = slug(F.col("cited")).contains(slug(value))
-        elif name == "indication":
-            hits, n = indication_hits(value, F.col("cited"))
-            found = (n == 0) | (hits >= 0.5 * n)
-        elif name == "value":
-            found = value_in_text(value, low)
-        else:
-            found = has_surface(low, value)
+    for name, column, how in CHECKS[kind]:
+        value, found, hits = _looked_for(how, column, low)
         found = F.coalesce(found, F.lit(False))
         made.append(F.struct(F.lit(name).alias("name"), value.cast("string").alias("expected"), found.alias("found"), category(name, value, found, low, hits).alias("category")))
     return facts.select(*facts.columns, F.inline(F.array(*made)))
@@ -111,7 +120,11 @@ def summary(checks: DataFrame) -> DataFrame:
 
 def is_fallback(snippet: Column) -> Column:
     """Whether a snippet is the chunk's beginning and not a quotation: long, or of several lines."""
-    clean = F.trim(snippet)
-    return (F.length(clean) >= 200) | clean.contains("\n")
+    return F.coalesce((F.length(snippet) >= 200) | strip(snippet).contains("\n"), F.lit(False))
+
+
+def fallback_rate(facts: DataFrame) -> DataFrame:
+    """``fallbacks, facts``: how many facts (with ``snippet``) carry their chunk's beginning, and how many there are."""
+    return facts.agg(F.count_if(is_fallback(F.col("snippet"))).alias("fallbacks"), F.count("*").alias("facts"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.similarity import fuzzy_match
-from tessella.functions.text import canonical_term, collapse_phase, is_null_sentinel
+from tessella.functions.text import agency_class, canonical_term, collapse_phase, is_null_sentinel, values_match
 
 #: Closed fields that must be equal, by type; a phase or stage counts without its sub-phase.
 CLOSED = {"programs": ["stage"], "regulatory_events": ["action", "region"], "trials": ["phase"], "market_metrics": ["metric"]}
@@ -42,30 +42,49 @@ def keep_first(rows: DataFrame, by: list[Column | str], order: list[str]) -> Dat
     return rows.withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n")
 
 
+def _sided(rows: DataFrame, letter: str) -> DataFrame:
+    """All columns with the side's letter before their names, so that both sides may come from one table."""
+    return rows.select(*[F.col(c).alias(f"{letter}_{c}") for c in rows.columns])
+
+
+def _phased(column: str) -> Column:
+    return collapse_phase(F.col(column)) if column[2:] in ("stage", "phase") else F.col(column)
+
+
+def _closed(kind: str, fields: list[str]) -> Column:
+    """Whether p and g stand in one document and agree on ``fields`` and, where the type has assets, on one of them."""
+    same = F.col("p_doc_id") == F.col("g_doc_id")
+    for c in fields:
+        same = same & (_phased(f"p_{c}") == _phased(f"g_{c}"))
+    if kind != "market_metrics":
+        same = same & F.arrays_overlap("p_slugs", "g_slugs")
+    return same
+
+
+def _keyed(kind: str) -> Column:
+    """``_closed`` over the type's key without its open texts; a golden program without a region fits any."""
+    same = _closed(kind, CLOSED[kind])
+    return same & (F.col("g_region").isNull() | (F.col("p_region") == F.col("g_region"))) if kind == "programs" else same
+
+
+def _both(column: str) -> Column:
+    given = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    return given(f"p_{column}") & given(f"g_{column}")
+
+
 def candidates(predicted: DataFrame, golden: DataFrame, kind: str) -> DataFrame:
     """``doc_id, g, p`` of all pairs that the type's predicate accepts."""
-    p = predicted.select("doc_id", *[F.col(c).alias(f"p_{c}") for c in predicted.columns if c != "doc_id"])
-    g = golden.select("doc_id", *[F.col(c).alias(f"g_{c}") for c in golden.columns if c != "doc_id"])
-    phase = lambda c: collapse_phase(F.col(c)) if c[2:] in ("stage", "phase") else F.col(c)
-    same = p["doc_id"] == g["doc_id"]
-    closed = F.lit(True)
-    for c in CLOSED[kind]:
-        closed = closed & (phase(f"p_{c}") == phase(f"g_{c}"))
-    if kind != "market_metrics":
-        closed = closed & F.arrays_overlap("p_slugs", "g_slugs")
-    if kind == "programs":
-        closed = closed & (F.col("g_region").isNull() | (F.col("p_region") == F.col("g_region")))
-    keep = [F.col("g_n").alias("g"), F.col("p_n").alias("p")]
+    p, g = _sided(predicted, "p"), _sided(golden, "g")
+    keep = [F.col("g_doc_id").alias("doc_id"), F.col("g_n").alias("g"), F.col("p_n").alias("p")]
     fuzzy = F.lit(True)
     for c in FUZZY[kind]:
         fuzzy = fuzzy & fuzzy_match(F.col(f"p_{c}"), F.col(f"g_{c}"))
     if kind != "trials":
-        return p.join(g, same & closed).where(fuzzy).select(g["doc_id"], *keep)
-    has = lambda c: F.coalesce(F.col(f"p_{c}") != "", F.lit(False)) & F.coalesce(F.col(f"g_{c}") != "", F.lit(False))
-    both_nct, both_name = has("nct_id"), ~has("nct_id") & has("trial_name")
-    by_id = p.join(g, same & both_nct & (F.lower(F.trim("p_nct_id")) == F.lower(F.trim("g_nct_id")))).select(g["doc_id"], *keep)
-    by_name = p.join(g, same & both_name).where(fuzzy_match(F.col("p_trial_name"), F.col("g_trial_name"))).select(g["doc_id"], *keep)
-    rest = p.join(g, same & ~both_nct & ~both_name & closed).where(fuzzy).select(g["doc_id"], *keep)
+        return p.join(g, _keyed(kind)).where(fuzzy).select(*keep)
+    same, ids, names = F.col("p_doc_id") == F.col("g_doc_id"), _both("nct_id"), _both("trial_name")
+    by_id = p.join(g, same & ids & (F.lower(F.trim("p_nct_id")) == F.lower(F.trim("g_nct_id")))).select(*keep)
+    by_name = p.join(g, same & ~ids & names).where(fuzzy_match(F.col("p_trial_name"), F.col("g_trial_name"))).select(*keep)
+    rest = p.join(g, _keyed(kind) & ~ids & ~names).where(fuzzy).select(*keep)
     return by_id.union(by_name).union(rest)
 
 
@@ -111,26 +130,23 @@ def outcomes(predicted: DataFrame, golden: DataFrame, pairs: DataFrame, kind: st
     matched_g = pairs.select("doc_id", F.col("g").alias("n"))
     misses, found = golden.join(matched_g, ["doc_id", "n"], "left_anti"), golden.join(matched_g, ["doc_id", "n"], "left_semi")
     rest = predicted.join(matched_p, ["doc_id", "n"], "left_anti").withColumn("incomplete", F.coalesce(key_incomplete(kind), F.lit(False)))
-    clean = rest.where("not incomplete")
-    verbose = clean.select("doc_id", "n").limit(0)
+    clean = _sided(rest.where("not incomplete"), "p")
+    own = [F.col("p_doc_id").alias("doc_id"), F.col("p_n").alias("n")]
+    none = rest.select("doc_id", "n").limit(0)
+    verbose = again = none
     if kind != "market_metrics":
-        a, b = clean.alias("a"), misses.alias("b")
-        same = (F.col("a.doc_id") == F.col("b.doc_id")) & F.arrays_overlap("a.slugs", "b.slugs")
-        for c in CLOSED[kind]:
-            side = lambda t, c=c: collapse_phase(F.col(f"{t}.{c}")) if c in ("stage", "phase") else F.col(f"{t}.{c}")
-            same = same & (side("a") == side("b"))
-        if kind == "programs":
-            same = same & (F.col("b.region").isNull() | (F.col("a.region") == F.col("b.region")))
-        verbose = a.join(b, same & is_verbose(F.col("b.indication"), F.col("a.indication"))).select("a.doc_id", "a.n").distinct()
-    again = clean.select("doc_id", "n").limit(0)
+        left = _sided(misses, "g")
+        wordier = is_verbose(F.col("g_indication"), F.col("p_indication"))
+        if kind == "trials":  # names, where both have one, stand for assets and phase
+            named = clean.join(left, (F.col("p_doc_id") == F.col("g_doc_id")) & _both("trial_name") & wordier)
+            named = named.where(fuzzy_match(F.col("p_trial_name"), F.col("g_trial_name"))).select(*own)
+            verbose = named.union(clean.join(left, _keyed(kind) & ~_both("trial_name") & wordier).select(*own)).distinct()
+        else:
+            verbose = clean.join(left, _keyed(kind) & wordier).select(*own).distinct()
     if kind in ("programs", "regulatory_events"):
-        field = "stage" if kind == "programs" else "action"
-        a, b = clean.alias("a"), found.alias("b")
-        value = (lambda t: collapse_phase(F.col(f"{t}.{field}"))) if kind == "programs" else (lambda t: F.col(f"{t}.{field}"))
-        same = (F.col("a.doc_id") == F.col("b.doc_id")) & F.arrays_overlap("a.slugs", "b.slugs") & (value("a") == value("b"))
-        near = a.join(b, same).select(
-            "a.doc_id", "a.n", fuzzy_match(F.col("a.indication"), F.col("b.indication")).alias("fuzzy"), is_verbose(F.col("b.indication"), F.col("a.indication")).alias("verbose")
-        )
+        near = clean.join(_sided(found, "g"), _closed(kind, ["stage" if kind == "programs" else "action"]))
+        wordier = is_verbose(F.col("g_indication"), F.col("p_indication"))
+        near = near.select(*own, fuzzy_match(F.col("p_indication"), F.col("g_indication")).alias("fuzzy"), wordier.alias("verbose"))
         again = near.where("fuzzy or verbose").select("doc_id", "n").distinct()
     flags = rest.select("doc_id", "n", "incomplete").join(verbose.withColumn("verbose", F.lit(True)), ["doc_id", "n"], "left")
     flags = flags.join(again.withColumn("again", F.lit(True)), ["doc_id", "n"], "left")
@@ -155,21 +171,26 @@ def prf(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
 
 
-def attribute_errors(pairs: DataFrame, kind: str) -> Column:
-    """``array<string>``: the attributes in which a matched pair (p_ and g_ columns) differs, by type."""
-    from tessella.functions.text import agency_class, values_match
-
-    differs = {
-        "programs": [],
-        "trials": [(~F.col("p_met_primary_endpoint").eqNullSafe(F.col("g_met_primary_endpoint")), "met_primary_endpoint")],
-        "regulatory_events": [(~agency_class(F.col("p_agency")).eqNullSafe(agency_class(F.col("g_agency"))), "agency")],
-        "market_metrics": [
-            (~values_match(F.col("p_value"), F.col("p_unit"), F.col("g_value"), F.col("g_unit")), "value"),
-            (canonical_term(F.coalesce("p_period", "reporting_period")) != canonical_term(F.coalesce("g_period", "reporting_period")), "period"),
-        ] if "p_value" in pairs.columns else [],
-    }
-    found = [F.when(F.coalesce(c, F.lit(False)), n) for c, n in differs[kind]] or [F.lit(None).cast("string")]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+def attribute_errors(kind: str) -> Column:
+    """``array<string>``: the attributes in which a matched pair (p_ and g_ columns, reporting_period) differs, by type.
+
+    A period that says nothing counts as the document's reporting period; without any golden period it is not compared.
+    """
+    if kind == "trials":
+        differs = [(~F.col("p_met_primary_endpoint").eqNullSafe(F.col("g_met_primary_endpoint")), "met_primary_endpoint")]
+    elif kind == "regulatory_events":
+        differs = [(~agency_class(F.col("p_agency")).eqNullSafe(agency_class(F.col("g_agency"))), "agency")]
+    elif kind == "market_metrics":
+        filled = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col("reporting_period"))
+        mine = F.when(is_null_sentinel(F.col("p_period")), F.col("reporting_period")).otherwise(F.col("p_period"))
+        amount = values_match(F.col("p_value"), F.col("p_unit"), F.col("g_value"), F.col("g_unit"))
+        differs = [
+            (~F.coalesce(amount, F.lit(False)), "value"),
+            (F.coalesce(filled("g_period") != "", F.lit(False)) & (canonical_term(mine) != canonical_term(filled("g_period"))), "period"),
+        ]
+    else:
+        return F.array().cast("array<string>")
+    return F.filter(F.array(*[F.when(c, n) for c, n in differs]), lambda x: x.isNotNull())
 
 
 def locate(lines: DataFrame, facts: DataFrame) -> DataFrame:

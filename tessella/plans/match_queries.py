@@ -135,34 +135,6 @@ def region_split_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def facts_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Programs per document (a customer): golden ones from odd orders, predictions from even ones, with several kinds of
-    mismatch: wordier indications, null ones, other stages, restatements."""
-    base = "alpha beta syndrome", "gamma delta disease", "epsilon carcinoma", "zeta fibrosis type"
-    o = table(spark, sf_dir, "orders")
-    i = (F.col("o_orderkey") / 2).cast("long")
-    pick = lambda xs, k: F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int"))
-    ind = pick(base, i)
-    seen = (
-        F.when(F.col("o_orderkey") % 2 == 1, ind).when(i % 7 == 0, F.lit("not specified")).when(i % 7 == 1, F.concat(ind, F.lit(" in severe adults")))
-        .when(i % 7 == 2, F.upper(ind)).otherwise(ind)
-    )
-    rows = o.select(
-        F.col("o_custkey").alias("doc_id"), "o_orderkey", F.array(F.concat(F.lit("asset-"), (i % 3).cast("string"))).alias("slugs"),
-        seen.alias("indication"), pick(["US", "EU"], i).alias("region"), pick(["P2", "P2a", "P3"], i + F.col("o_orderkey") % 2).alias("stage"),
-    )
-    order = Window.partitionBy("doc_id").orderBy("o_orderkey")
-    number = lambda r: r.withColumn("n", F.row_number().over(order).cast("long")).drop("o_orderkey")
-    return number(rows.where("o_orderkey % 2 = 0")), number(rows.where("o_orderkey % 2 = 1"))
-
-
-@query()
-def fact_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predicted, golden = facts_of(spark, sf_dir)
-    pairs = M.greedy_pairs(M.candidates(predicted, golden, "programs"))
-    return M.outcomes(predicted, golden, pairs, "programs")
-
-
 @query(
     """with f as (select p_partkey as doc_id, 1 + p_size % 3 as start_line, 4 + p_size % 3 as end_line from part), l as (select p_partkey as doc_id, unnest([1, 2, 3, 4, 5, 6]) as line_no, p_name from part),
     t as (select l.*, case when line_no % 3 = 0 then p_name else 'filler ' || line_no end as line from l), k as (select p_partkey as doc_id, unnest([1, 2]) as pri, unnest([split_part(p_name, ' ', 2), 'filler']) as word from part),
