@@ -1,7 +1,9 @@
 """Retrieval, fusion and recall scoring.
 
 Units are the documents; queries the benchmark passages. Where a dense ranking is fused with a lexical one, a
-query's vector is the embedding whose id is the passage's, and units are the documents with an embedding of their id.
+query's vector is the embedding whose id is the passage's, and a unit's the one of the document's id. The lexical ranking holds
+all documents, those without a query token behind the others; the dense one those with a vector. Fusions take from both what
+can reach their first ten, and exact ranks of it from either.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from tessella.functions import text as T
 from tessella.operators import recall as S
 from tessella.operators import retrieval as R
 from tessella.plans.registry import query
-from tessella.session import table
+from tessella.session import checkpoint, table
 
 
 def units_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,16 +33,17 @@ _BM25 = _TOKENS + r""", tf as (select unit_id, token, count(*) as tf from tok gr
   idf as (select token, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
   qt as (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-/()]*')) as token from benchmark where text is not null),
   q as (select query_id, token, count(*) as qn from qt group by all),
-  bm as (select query_id, tf.unit_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / m))), 9) as score
+  hit as (select query_id, tf.unit_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / m))), 9) as score
     from q join idf using (token) join tf using (token) join sz using (unit_id), mean group by all),
+  bm as (select b.item_id as query_id, d.doc_id as unit_id, coalesce(hit.score, 0) as score from benchmark b join documents d on b.text is not null and d.text is not null
+    left join hit on hit.query_id = b.item_id and hit.unit_id = d.doc_id),
   bm25 as (select *, row_number() over (partition by query_id order by score desc, unit_id) as rank from bm)"""
 _DENSE = """e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
   cs as (select q.vec_id as query_id, u.vec_id as unit_id, round(list_cosine_similarity(u.v, q.v), 9) as score
     from e q join e u on q.vec_id in (select item_id from benchmark) and u.vec_id in (select doc_id from documents where text is not null)),
   dense as (select *, row_number() over (partition by query_id order by score desc, unit_id) as rank from cs)"""
-_FUSED = "with " + _BM25 + ", " + _DENSE + """, b2 as (select query_id, unit_id, row_number() over (partition by query_id order by score desc, unit_id) as rank
-    from bm where query_id in (select vec_id from e) and unit_id in (select vec_id from e)),
-  legs as (select 0 as leg, query_id, unit_id, rank from dense union all select 1, query_id, unit_id, rank from b2)"""
+_FUSED = "with " + _BM25 + ", " + _DENSE + """,
+  legs as (select 0 as leg, query_id, unit_id, rank from dense union all select 1, query_id, unit_id, rank from bm25)"""
 _SPANS = _FUSED + """, spanned as (select *, unit_id // 3 as doc_id, (unit_id % 3) // 2 * 10 + 1 as start_line, (unit_id % 3) // 2 * 10 + 10 as end_line from legs)"""
 
 
@@ -95,26 +98,41 @@ def dense_label_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(own, "query_id").select("query_id", "own_label", F.col("b.label").alias("knn_label"), (-F.col("b.m")).alias("votes"))
 
 
-def legs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``leg, query_id, unit_id, rank``: the dense ranking of all units, and the lexical one."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"))
-    units = units_of(spark, sf_dir)
-    own = e.join(units.select("unit_id"), "unit_id", "left_semi")
-    asked = e.select(F.col("unit_id").alias("query_id"), "vector").join(passages(spark, sf_dir).select("query_id"), "query_id", "left_semi")
-    dense = R.cosine_ranks(own, asked, itself=True)
-    lexical = R.bm25(units, passages(spark, sf_dir)).join(e.select("unit_id"), "unit_id", "left_semi")
-    lexical = lexical.join(e.select(F.col("unit_id").alias("query_id")), "query_id", "left_semi")
-    lexical = R.ranked(lexical.select("query_id", "unit_id", "score"))
-    cols = ["query_id", "unit_id", "rank"]
-    return dense.select(F.lit(0).alias("leg"), *cols).unionByName(lexical.select(F.lit(1).alias("leg"), *cols))
-
-
-def spanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legs whose units stand at spans that some share: three units to a document, two of them at one place."""
+class Legs:
+    """The dense and the lexical ranking of documents for the passages."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"))
+        self.units, self.queries = units_of(spark, sf_dir), passages(spark, sf_dir)
+        self.vectors = vectors.join(self.units.select("unit_id"), "unit_id", "left_semi")
+        self.asked = vectors.withColumnRenamed("unit_id", "query_id").join(self.queries.select("query_id"), "query_id", "left_semi")
+        self.lexical = R.Lexical(self.units, self.queries)
+
+    def top(self, k: int) -> DataFrame:
+        """``leg, query_id, unit_id, rank``: the first k of either leg."""
+        cols = ["query_id", "unit_id", "rank"]
+        dense = R.cosine_ranks(self.vectors, self.asked, k, itself=True).select(F.lit(0).alias("leg"), *cols)
+        return checkpoint(dense.unionByName(self.lexical.top(k).select(F.lit(1).alias("leg"), *cols)))
+
+    def ranks(self, pairs: DataFrame) -> DataFrame:
+        """``leg, query_id, unit_id, rank`` of the pairs in either leg; a document without a vector has none in the dense one."""
+        pairs, cols = checkpoint(pairs), ["query_id", "unit_id", "rank"]
+        dense = R.cosine_rank_of(self.vectors, self.asked, pairs).select(F.lit(0).alias("leg"), *cols)
+        return checkpoint(dense.unionByName(self.lexical.ranks(pairs).select(F.lit(1).alias("leg"), *cols)))
+
+
+def with_span(rows: DataFrame) -> DataFrame:
+    """Units stand at spans that some share: three units to a document, two of them at one place."""
     place = F.floor(F.col("unit_id") % 3 / 2) * 10
-    return legs_of(spark, sf_dir).withColumns({
-        "doc_id": F.floor(F.col("unit_id") / 3).cast("long"), "start": (place + 1).cast("long"), "end": (place + 10).cast("long"),
-    })
+    return rows.withColumns({"doc_id": F.floor(F.col("unit_id") / 3).cast("long"), "start": (place + 1).cast("long"), "end": (place + 10).cast("long")})
+
+
+def span_legs(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """Both legs' ranks of all units at spans that can be among the first k of their fusion."""
+    legs = Legs(spark, sf_dir)
+    span = ["doc_id", "start", "end"]
+    near = with_span(legs.top(R.depth_for(k))).select("query_id", *span).distinct()
+    return with_span(legs.ranks(near.join(with_span(legs.units.select("unit_id")), span).select("query_id", "unit_id")))
 
 
 @query(
@@ -123,7 +141,8 @@ def spanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     select query_id, unit_id, round(score, 6) as score, rank::bigint as rank from r where rank <= 10"""
 )
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    legs = legs_of(spark, sf_dir)
+    both = Legs(spark, sf_dir)
+    legs = both.ranks(both.top(R.depth_for(10)).select("query_id", "unit_id"))
     found = R.rrf([legs.where("leg = 0"), legs.where("leg = 1")], k=10)
     return found.select("query_id", "unit_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -136,7 +155,7 @@ _SPAN_RRF = _SPANS + """, best as (select query_id, doc_id, start_line, end_line
 
 @query(_SPAN_RRF + " select query_id, doc_id, start_line, end_line, unit_id, round(score, 6) as score, rank::bigint as rank from span_ranked where rank <= 10")
 def span_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = R.span_rrf(spanned(spark, sf_dir)).where("rank <= 10")
+    f = R.span_rrf(span_legs(spark, sf_dir)).where("rank <= 10")
     return f.select(
         "query_id", "doc_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"), "unit_id",
         F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"),
@@ -148,7 +167,7 @@ def span_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     select query_id, leg::bigint as leg, unit_id, rank::bigint as rank, fused::bigint as fused_rank from r where fused <= 10"""
 )
 def naive_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = R.naive_rrf(spanned(spark, sf_dir)).where("fused_rank <= 10")
+    f = R.naive_rrf(with_span(Legs(spark, sf_dir).top(10))).where("fused_rank <= 10")
     return f.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("leg", "unit_id", "rank", "fused_rank")])
 
 
@@ -159,9 +178,9 @@ _UNION = _SPAN_RRF + """, two as (select query_id, doc_id, start_line, end_line,
 
 
 def united(spark: SparkSession, sf_dir: str) -> DataFrame:
-    legs = spanned(spark, sf_dir)
+    legs = span_legs(spark, sf_dir)
     cols = ["query_id", "doc_id", "start", "end", "rank"]
-    return R.corpus_union(legs.where("leg = 0").select(*cols), R.span_rrf(legs).select(*cols))
+    return checkpoint(R.corpus_union(legs.where("leg = 0").select(*cols), R.span_rrf(legs).select(*cols)))
 
 
 @query(_UNION + " select query_id, doc_id, start_line, end_line, pos::bigint as pos from united")
@@ -175,9 +194,9 @@ _GOLD = _UNION + """, gold as (select u.query_id, 1 + (u.query_id + d.k) % 5 as
     from (select query_id, doc_id from united where pos in (0, 4, 11)) u, (select unnest([0, 1, 2, 3]) as k) d)"""
 
 
-def gold_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans to be found: four in each of some documents of a query's retrieval."""
-    some = united(spark, sf_dir).where(F.col("pos").isin(0, 4, 11)).select("query_id", "doc_id")
+def gold_spans(found: DataFrame) -> DataFrame:
+    """Spans to be found: four in each of some documents of a query's retrieval (as from ``united``)."""
+    some = found.where(F.col("pos").isin(0, 4, 11)).select("query_id", "doc_id")
     k = F.explode(F.array(*[F.lit(i).cast("long") for i in range(4)])).alias("span_id")
     q, d = F.col("query_id"), F.col("span_id")
     return some.select("query_id", "doc_id", k).select(
@@ -193,8 +212,9 @@ def gold_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
       from gold g left join united u using (query_id, doc_id) group by all"""
 )
 def containing_chunk_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = united(spark, sf_dir).withColumn("rank", F.col("pos") + 1)
-    spans = gold_spans(spark, sf_dir).withColumn("key", F.struct("doc_id", "span_id"))
+    both = united(spark, sf_dir)
+    ranks = both.withColumn("rank", F.col("pos") + 1)
+    spans = gold_spans(both).withColumn("key", F.struct("doc_id", "span_id"))
     found = R.containing_rank(ranks, spans.select("query_id", "doc_id", F.col("key").alias("span_id"), "a", "b"))
     return found.select("query_id", "span_id.doc_id", F.col("span_id.span_id").alias("span_id"), F.col("rank").cast("long").alias("rank"))
 
@@ -211,7 +231,8 @@ _COVER = _GOLD + """, ks as (select unnest([1, 3, 5, 10]) as k),
       round(count_if(hit) / count(*), 6) as recall from facts group by k, query_id, construct"""
 )
 def containment_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = S.facts_hit(S.span_coverage(united(spark, sf_dir), gold_spans(spark, sf_dir), [1, 3, 5, 10]))
+    found = united(spark, sf_dir)
+    facts = S.facts_hit(S.span_coverage(found, gold_spans(found), [1, 3, 5, 10]))
     return S.query_recall(facts)
 
 
@@ -220,7 +241,8 @@ def containment_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
       count_if(best > 0.01 and best < 0.99)::bigint as part_, count_if((best >= 0.5) <> (best >= 0.99))::bigint as t_dependent from cov group by k"""
 )
 def containment_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.containment_histogram(S.span_coverage(united(spark, sf_dir), gold_spans(spark, sf_dir), [1, 3, 5, 10]))
+    found = united(spark, sf_dir)
+    return S.containment_histogram(S.span_coverage(found, gold_spans(found), [1, 3, 5, 10]))
 
 
 @query(
@@ -228,7 +250,8 @@ def containment_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     select k::bigint as k, construct, slice, round(avg(r), 6) as recall, count(*)::bigint as queries from per group by grouping sets ((k), (k, construct), (k, slice))"""
 )
 def recall_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.macro_recall(S.facts_hit(S.span_coverage(united(spark, sf_dir), gold_spans(spark, sf_dir), [1, 3, 5, 10])))
+    found = united(spark, sf_dir)
+    return S.macro_recall(S.facts_hit(S.span_coverage(found, gold_spans(found), [1, 3, 5, 10])))
 
 
 @query(
@@ -237,7 +260,11 @@ def recall_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
       (max(case when leg = 0 then best end) - max(case when leg = 1 then best end))::bigint as delta from s group by query_id"""
 )
 def leg_rank_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.leg_deltas(legs_of(spark, sf_dir).where("(unit_id + query_id) % 50 = 0"), legs_of(spark, sf_dir).select("query_id").distinct())
+    legs = Legs(spark, sf_dir)
+    at = lambda c: F.col(c) % 50
+    asked = legs.queries.select("query_id", F.pmod(-F.col("query_id"), F.lit(50)).alias("at"))
+    pairs = legs.units.select("unit_id", at("unit_id").alias("at")).join(asked, "at").select("query_id", "unit_id")
+    return S.leg_deltas(legs.ranks(pairs), legs.queries.select("query_id").distinct())
 
 
 @query(r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'))[1:160] as snippet from documents where text is not null")
