@@ -35,14 +35,18 @@ def headers(rows: DataFrame) -> DataFrame:
     )
 
 
+def in_sections(rows: DataFrame) -> DataFrame:
+    """Adds ``level``, ``title`` and ``section`` to lines: a section runs from a header to the next, what precedes the first is 0."""
+    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return headers(rows).withColumn("section", F.sum((F.col("level") > 0).cast("long")).over(order))
+
+
 def sections(rows: DataFrame) -> DataFrame:
-    """``doc_id, section, start, end, level, title, chars`` of lines: a section runs from a header to the next.
+    """``doc_id, section, start, end, level, title, chars`` of lines.
 
     What precedes the first header is section 0 with level 0. ``chars`` counts the lines joined by line ends.
     """
-    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = headers(rows).withColumn("section", F.sum((F.col("level") > 0).cast("long")).over(order))
-    return marked.groupBy("doc_id", "section").agg(
+    return in_sections(rows).groupBy("doc_id", "section").agg(
         F.min("line_no").alias("start"),
         F.max("line_no").alias("end"),
         F.max("level").alias("level"),
@@ -76,11 +80,10 @@ def section_label(path: Column) -> Column:
     return F.when(F.size(path) > 0, F.array_join(path, " > "))
 
 
-def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, chunk, first, last, start, end, chars, whole``: sections packed greedily up to ``size`` characters.
+def chunk_of_section(parts: DataFrame, size: int = SIZE) -> DataFrame:
+    """``doc_id, section, chunk``: sections packed greedily up to ``size`` characters; one that is itself too long stands alone.
 
-    A section that is itself too long stands alone (``whole`` is false: it is to be cut into windows). The fold over
-    a document's sections keeps only the running size and the chunk number of each section.
+    The fold over a document's sections keeps only the running size and the chunk number of each section.
     """
     check_config(size, 0)
     item = F.struct("section", F.col("chars").cast("long").alias("chars"))
@@ -97,8 +100,13 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
 
     of = F.aggregate("items", start, step)["of"]
     flat = rows.select("doc_id", F.explode(F.arrays_zip(F.transform("items", lambda x: x["section"]).alias("section"), of.alias("chunk"))).alias("z"))
+    return flat.select("doc_id", "z.section", "z.chunk")
+
+
+def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
+    """``doc_id, chunk, first, last, start, end, chars, whole`` of the packed sections; what is not ``whole`` is to be cut into windows."""
     return (
-        parts.join(flat.select("doc_id", "z.section", "z.chunk"), ["doc_id", "section"])
+        parts.join(chunk_of_section(parts, size), ["doc_id", "section"])
         .groupBy("doc_id", "chunk")
         .agg(
             F.min("section").alias("first"), F.max("section").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"),
@@ -112,41 +120,58 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """``doc_id, window, begin, finish, start, end, text``: windows of ``size`` characters with their line ranges.
 
     ``begin`` and ``finish`` are offsets (the end exclusive); ``start`` and ``end`` the lines, from 1, of the first and last character; a line
-    end belongs to the line it ends. A null text has no windows, an empty one has one.
+    end belongs to the line it ends. A null text has no windows, an empty one has one. The text is cut into pieces of a stride once and
+    line ends are counted once for each piece, so the work grows with the text's length.
     """
     check_config(size, overlap)
-    stride = size - overlap
-    n = F.length(text)
-    last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / stride)).cast("int")
-    rows = docs.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("doc_id"), F.col(text).alias("whole"), n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("window")
-    )
+    stride, n = size - overlap, F.length(text)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{stride}}}"), 0)
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), n.alias("n"), pieces.alias("pieces"))
+    rows = rows.withColumn("before", _running(F.transform("pieces", _breaks)))
+    last = F.when(F.col("n") <= size, 0).otherwise(F.ceil((F.col("n") - size) / stride)).cast("int")
+    part = lambda w: F.substring(F.array_join(F.slice("pieces", w + 1, -(-size // stride)), ""), 1, size)
+    made = F.transform(F.sequence(F.lit(0), last), lambda w: F.struct(w.alias("window"), F.coalesce(F.get("before", w), F.lit(0)).alias("before"), part(w).alias("text")))
+    rows = rows.select("doc_id", "n", F.inline(made))
     begin = F.col("window") * stride
-    rows = rows.withColumn("begin", begin).withColumn("finish", F.least(F.col("begin") + size, F.col("n")))
-    part = F.substring("whole", F.col("begin") + 1, F.col("finish") - F.col("begin"))
-    breaks = lambda upto: F.length(F.substring("whole", F.lit(1), upto)) - F.length(F.replace(F.substring("whole", F.lit(1), upto), F.lit("\n"), F.lit("")))
     return rows.select(
-        "doc_id", "window", "begin", "finish",
-        (breaks(F.col("begin")) + 1).alias("start"),
-        (breaks(F.greatest(F.col("finish") - 1, F.col("begin"))) + 1).alias("end"),
-        part.alias("text"),
+        "doc_id", "window", begin.alias("begin"), F.least(begin + size, F.col("n")).alias("finish"), (F.col("before") + 1).cast("int").alias("start"),
+        (F.col("before") + 1 + _breaks(F.substring("text", F.lit(1), F.greatest(F.length("text") - 1, F.lit(0))))).cast("int").alias("end"), "text",
     )
 
 
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _running(numbers: Column, block: int = 256) -> Column:
+    """The sum before each number of an array: within blocks, and over the blocks, so that no long array is copied often."""
+    long = lambda x: x.cast("long")
+
+    def sums(xs: Column, first: Column) -> Column:
+        start = F.struct(first.alias("sum"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda acc, x: F.struct((acc["sum"] + long(x)).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+        return F.aggregate(xs, start, step)["out"]
+
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")))
+    blocks = F.transform(cuts, lambda b: F.slice(numbers, b * block + 1, block))
+    whole = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + long(x)))
+    return F.flatten(F.zip_with(blocks, sums(whole, F.lit(0).cast("long")), sums))
+
+
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """``document_id, chunk_index, section_path, line_range, text``: packed sections, and windows of those too long.
 
-    The breadcrumb of a chunk is that of its first section.
+    The breadcrumb of a chunk is that of its first section. Lines meet their chunk by document and section.
     """
-    rows = lines(docs)
-    parts = breadcrumbs(sections(rows))
-    packed = pack(parts, size)
-    paths = parts.select("doc_id", F.col("section").alias("first"), "path")
-    whole = packed.join(paths, ["doc_id", "first"])
-    inside = rows.join(whole.select("doc_id", "chunk", "start", "end", "whole", "path"), "doc_id").where("line_no between start and end")
-    texts = inside.groupBy("doc_id", "chunk", "start", "end", "whole", "path").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text")
-    )
+    rows = in_sections(lines(docs))
+    parts = breadcrumbs(sections(lines(docs)))
+    chunk = chunk_of_section(parts, size)
+    own = parts.join(chunk, ["doc_id", "section"])
+    heads = own.groupBy("doc_id", "chunk").agg(F.min_by("path", "section").alias("path"), ((F.sum("chars") + F.count("*") - 1) <= size).alias("whole"))
+    texts = rows.join(chunk, ["doc_id", "section"]).groupBy("doc_id", "chunk").agg(
+        F.min("line_no").alias("start"), F.max("line_no").alias("end"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
+    ).join(heads, ["doc_id", "chunk"])
     fit = texts.where("whole").select("doc_id", "chunk", F.lit(0).alias("window"), "path", "start", "end", "text")
     cut = windows(texts.where("not whole").withColumn("id", F.struct("doc_id", "chunk", "path", F.col("start").alias("base"))), "id", "text", size, overlap)
     cut = cut.select("doc_id.doc_id", "doc_id.chunk", "window", "doc_id.path", (F.col("start") + F.col("doc_id.base") - 1).alias("start"), (F.col("end") + F.col("doc_id.base") - 1).alias("end"), "text")

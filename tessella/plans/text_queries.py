@@ -79,29 +79,32 @@ def header_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "with " + _SECTIONS + """, last as (select *,
+_LABELS = """last as (select *,
       max(case when level = 1 then section end) over w as s1, max(case when level = 2 then section end) over w as s2,
-      max(case when level = 3 then section end) over w as s3 from sections window w as (partition by doc_id order by section))
-    select l.doc_id, l.section, nullif(concat_ws(' > ', a.title, b.title, c.title), '') as label from last l
+      max(case when level = 3 then section end) over w as s3 from sections window w as (partition by doc_id order by section)),
+    labels as (select l.doc_id, l.section, nullif(concat_ws(' > ', a.title, b.title, c.title), '') as label from last l
     left join sections a on a.doc_id = l.doc_id and a.section = l.s1
     left join sections b on b.doc_id = l.doc_id and b.section = l.s2 and l.s2 > coalesce(l.s1, -1)
-    left join sections c on c.doc_id = l.doc_id and c.section = l.s3 and l.s3 > coalesce(l.s1, -1) and l.s3 > coalesce(l.s2, -1)"""
-)
+    left join sections c on c.doc_id = l.doc_id and c.section = l.s3 and l.s3 > coalesce(l.s1, -1) and l.s3 > coalesce(l.s2, -1))"""
+
+
+@query("with " + _SECTIONS + ", " + _LABELS + " select * from labels")
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = C.breadcrumbs(C.sections(headed(spark, sf_dir)))
     return paths.select("doc_id", "section", C.section_label(F.col("path")).alias("label"))
 
 
-@query(
-    "with recursive " + _SECTIONS + """, ordered as (select *, row_number() over (partition by doc_id order by section) as n from sections),
+_FOLD = "with recursive " + _SECTIONS + """, ordered as (select *, row_number() over (partition by doc_id order by section) as n from sections),
     fold as (select doc_id, n, section, chars, start_line, end_line, 0::bigint as chunk, case when chars > 1500 then -1 else chars end as used from ordered where n = 1
       union all
       select o.doc_id, o.n, o.section, o.chars, o.start_line, o.end_line,
         (case when f.used >= 0 and f.used + 1 + o.chars <= 1500 then f.chunk else f.chunk + 1 end)::bigint,
         case when o.chars > 1500 then -1 when f.used >= 0 and f.used + 1 + o.chars <= 1500 then f.used + 1 + o.chars else o.chars end
-      from fold f join ordered o on o.doc_id = f.doc_id and o.n = f.n + 1)
-    select doc_id, chunk, min(start_line)::bigint as start_line, max(end_line)::bigint as end_line, (sum(chars) + count(*) - 1)::bigint as chars,
+      from fold f join ordered o on o.doc_id = f.doc_id and o.n = f.n + 1)"""
+
+
+@query(
+    _FOLD + """ select doc_id, chunk, min(start_line)::bigint as start_line, max(end_line)::bigint as end_line, (sum(chars) + count(*) - 1)::bigint as chars,
       sum(chars) + count(*) - 1 <= 1500 as whole from fold group by doc_id, chunk"""
 )
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,13 +142,24 @@ def chunk_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", F.col("window").cast("long").alias("win"), F.col("start").cast("long").alias("start_line"), F.col("end").cast("long").alias("end_line"))
 
 
-@query()
+@query(
+    _FOLD + ", " + _LABELS + """, held as (select doc_id, chunk, min(section) as first, max(section) as last_, min(start_line) as base, sum(chars) + count(*) - 1 <= 1500 as whole,
+      max(end_line) as last_line from fold group by doc_id, chunk),
+    body as (select f.doc_id, f.chunk, string_agg(n.line, chr(10) order by n.line_no) as text from fold f join numbered n on n.doc_id = f.doc_id and n.section = f.section group by f.doc_id, f.chunk),
+    cut as (select h.*, text, unnest(range(case when whole or length(text) <= 1500 then 1 else ceil((length(text) - 1500) / 1300.0)::bigint + 1 end)) as win from held h join body using (doc_id, chunk)),
+    spans as (select *, (win * 1300)::bigint as b, case when whole then length(text) else least(win * 1300 + 1500, length(text)) end::bigint as e from cut)
+    select s.doc_id as document_id, (row_number() over (partition by s.doc_id order by s.chunk, win) - 1)::bigint as chunk_index, label as section,
+      case when whole then base else base + length(substr(text, 1, b)) - length(replace(substr(text, 1, b), chr(10), '')) end::bigint as start_line,
+      case when whole then last_line else base + length(substr(text, 1, greatest(e - 1, b))) - length(replace(substr(text, 1, greatest(e - 1, b)), chr(10), '')) end::bigint as end_line,
+      md5(substr(text, b + 1, e - b)) as text_md5
+    from spans s join labels l on l.doc_id = s.doc_id and l.section = s.first"""
+)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = headed(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
     docs = rows.select("doc_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
     return C.chunk_documents(docs).select(
-        "document_id", "chunk_index", C.section_label(F.col("section_path")).alias("section"),
-        F.col("line_range.start").alias("start_line"), F.col("line_range.end").alias("end_line"), "text",
+        "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), C.section_label(F.col("section_path")).alias("section"),
+        F.col("line_range.start").cast("long").alias("start_line"), F.col("line_range.end").cast("long").alias("end_line"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
     )
 
 

@@ -71,3 +71,45 @@ def test_lines_and_titles(spark):
     assert rows[0].t == "# T\na\nb\n" and [r.title for r in rows] == ["T", "H2", "(untitled)", "Later"]
     stems = spark.createDataFrame([("a_en",), ("a-b-DE",), ("a_eng",), ("ab",), ("a_e1",)], "s string")
     assert [r[0] for r in stems.select(T.language_of(F.col("s"))).collect()] == ["en", "de", None, None, None]
+
+
+def test_windows_of_any_shape(spark):
+    """Windows against slices, with overlaps beyond the stride, letters beyond the basic plane and many pieces."""
+    rng = random.Random(8)
+    texts = ["", "a", "\n", "ab\n" * 900, "".join(rng.choice("ab\n😀é") for _ in range(3000)), "x" * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((60, 15), (10, 8), (7, 0), (5000, 1)):
+        got = {}
+        for r in C.windows(df, size=size, overlap=overlap).collect():
+            got[r.doc_id, r.window] = (r.begin, r.finish, r.start, r.end, r.text)
+        want = {}
+        for i, t in enumerate(texts):
+            w = 0
+            while True:
+                a, b = w * (size - overlap), min(w * (size - overlap) + size, len(t))
+                want[i, w] = (a, b, 1 + t[:a].count("\n"), 1 + t[: max(b - 1, a)].count("\n"), t[a:b])
+                if b >= len(t):
+                    break
+                w += 1
+        assert got == want
+
+
+def test_windows_grow_with_the_text(spark):
+    """Ten times the text takes about ten times the work, not a hundred times."""
+    import time
+
+    took = []
+    for n in (1, 1, 10):
+        df = spark.createDataFrame([(0, "some words in a line\n" * (n * 50_000))], "doc_id long, text string")
+        began = time.perf_counter()
+        rows = C.windows(df).agg(F.count("*"), F.max("end")).first()
+        took.append(time.perf_counter() - began)
+        assert rows[1] == n * 50_000
+    assert took[2] < 40 * max(took[1], 0.25), took
+
+
+def test_subset_range(spark):
+    chunks = spark.createDataFrame([(0, "a"), (1, "b")], "chunk_index int, text string")
+    for wrong in ([2], [0, 5], [-1]):
+        with pytest.raises(ValueError):
+            C.subset(chunks, wrong)
