@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import similarity as M
@@ -212,6 +212,78 @@ _GROUND = f"""with f as (select p_partkey, [{', '.join(sql_text(a) for a, *_ in
         when regexp_matches(low, '(^|[^0-9])(' || regexp_replace(stage, '^P+', '') || ')([^0-9]|$)') then 'map_gap' else 'real_failure' end from h)"""
 
 
+#: Facts of the other types, in turn, held against the same cited lines.
+_EVENT_FACTS = [("abc-123", "approval", "ulcerative colitis", "JP"), ("xyz", "priority_review", "lupus", "US"), ("", "CRL", "colitis", "other"), ("approved", "filed", "UC", "EU")]
+_TRIAL_FACTS = [("ABC-123", ["x"], "ulcerative colitis", "3"), (None, ["abc-123", "y"], "colitis", "2"), ("", [], "lupus erythematosus", "2b"), ("HORIZON", ["z"], "asthma", "1/2")]
+_METRIC_FACTS = [("Acme revenue", 1250.0), ("of it", 1.5), ("worldwide sales", 2028.0), ("FDA", 123.0)]
+
+
+def _turn(values: list, k: Column, kind: str | None = None) -> Column:
+    made = [F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v) for v in values]
+    return F.get(F.array(*(m.cast(kind) if kind else m for m in made)), (k % len(values)).cast("int"))
+
+
+def _typed(spark: SparkSession, sf_dir: str, facts: list[tuple], names: list[str]) -> DataFrame:
+    n = F.col("p_partkey")
+    own = [_turn(list(column), n).alias(name) for name, column in zip(names, zip(*facts))]
+    return table(spark, sf_dir, "part").select("p_partkey", *own, F.concat(_turn(_CITED, n), F.lit("\n"), "p_name").alias("cited"))
+
+
+def _typed_sql(columns: dict[str, list]) -> str:
+    """CTE h: the facts with the cited text, its lower-case, slug and canonical forms, and the indication's words."""
+    own = ", ".join(f"[{', '.join('null' if v is None else repr(v) if isinstance(v, float) else sql_text(v) for v in xs)}][1 + p_partkey % 4] as {c}" for c, xs in columns.items())
+    words = f", list_filter(string_split({sql_canonical('indication')}, ' '), lambda w: length(w) > 2) as iw" if "indication" in columns else ", []::varchar[] as iw"
+    return f"""with f as (select p_partkey, {own}, [{', '.join(map(sql_text, _CITED))}][1 + p_partkey % 6] || chr(10) || p_name as cited from part),
+    l as (select *, lower(cited) as low, {sql_slug('cited')} as cs, {sql_canonical('cited')} as cc{words} from f), h as (select *, len(list_filter(iw, lambda w: contains(cc, w))) as hits from l)"""
+
+
+_WORD = lambda words: _BOUND.format("low", words)
+_REGION_SQL = _WORD("us|u[.]s[.]|united states|fda|eu|europe|european|ema|chmp|japan|jp|pmda|mhlw|china|cn|nmpa|global|worldwide")
+_INDICATION_SQL = "select p_partkey, 'indication' as name, indication as expected, hits >= 0.5 * len(iw) as found, case when hits >= 0.5 * len(iw) then 'grounded' when hits > 0 then 'indeterminate' else 'real_failure' end as category from h"
+
+
+def _check_sql(name: str, expected: str, found: str, failed: str = "'real_failure'") -> str:
+    return f"select p_partkey, '{name}', {expected}, {found}, case when {found} then 'grounded' else {failed} end from h"
+
+
+@query(
+    _typed_sql({c: [f[i] for f in _EVENT_FACTS] for i, c in enumerate(("asset_id", "action", "indication", "region"))}) + " " + " union all ".join([
+        _INDICATION_SQL, _check_sql("asset", "asset_id", "(asset_id <> '' and contains(cs, asset_id))"),
+        _check_sql("action", "action", f"(case action when 'approval' then {_WORD('approved|approval')} when 'priority_review' then {_WORD('priority review')} when 'CRL' then {_WORD('crl|complete response letter')} else {_WORD('filed|filing|submission|submitted|submissions')} end)"),
+        _check_sql("region", "region", f"(case region when 'JP' then {_WORD('japan|jp|pmda|mhlw')} when 'US' then {_WORD('us|u[.]s[.]|united states|fda')} when 'EU' then {_WORD('eu|europe|european|ema|chmp')} else {_WORD('other')} end)",
+                   f"case when {_REGION_SQL} then 'real_failure' else 'inferred' end"),
+    ])
+)
+def ground_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _typed(spark, sf_dir, _EVENT_FACTS, ["asset_id", "action", "indication", "region"])
+    return G.ground(facts, "regulatory_events").select("p_partkey", "name", "expected", "found", "category")
+
+
+@query(
+    _typed_sql({"trial_name": [f[0] for f in _TRIAL_FACTS], "first": [(f[1] or [""])[0] for f in _TRIAL_FACTS], "indication": [f[2] for f in _TRIAL_FACTS], "phase": [f[3] for f in _TRIAL_FACTS]}) + " " + " union all ".join([
+        _INDICATION_SQL, _check_sql("asset", "coalesce(nullif(trial_name, ''), first)", "(case when coalesce(trial_name, '') <> '' then contains(low, lower(trial_name)) else first <> '' and contains(cs, first) end)"),
+        _check_sql("phase", "phase", f"(case phase when '3' then {_WORD('phase 3|ph 3|p-iii|phiii')} when '2' then {_WORD('phase 2|ph 2|p-ii|phii')} when '2b' then {_WORD('phase 2b|p-iib')} else {_WORD('phase 1/2|phi/ii|ph i/ii|p-i/ii')} end)",
+                   "case when regexp_matches(low, '(^|[^0-9])(' || phase || ')([^0-9]|$)') then 'map_gap' else 'real_failure' end"),
+    ])
+)
+def ground_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _typed(spark, sf_dir, _TRIAL_FACTS, ["trial_name", "asset_ids", "indication", "phase"])
+    return G.ground(facts, "trials").select("p_partkey", "name", "expected", "found", "category")
+
+
+@query(
+    _typed_sql({"subject": [f[0] for f in _METRIC_FACTS], "value": [f[1] for f in _METRIC_FACTS]}) + """, c as (select *, regexp_replace(low, '[\\s,]', '', 'g') as compact,
+      case value when 1250.0 then ['1250', '1250.0'] when 1.5 then ['1.5', '1.5'] when 2028.0 then ['2028', '2028.0'] else ['123', '123.0'] end as forms,
+      case subject when 'Acme revenue' then ['acme', 'revenue'] when 'of it' then []::varchar[] when 'worldwide sales' then ['global', 'sales'] else ['fda'] end as subject_words from h),
+    d as (select *, len(list_filter(subject_words, lambda w: contains(low, w))) > 0 as has_subject, contains(low, forms[1]) or contains(low, forms[2]) or contains(compact, forms[1]) or contains(compact, forms[2]) as has_value from c)
+    select p_partkey, 'asset' as name, subject as expected, has_subject as found, case when has_subject then 'grounded' else 'real_failure' end as category from d
+    union all select p_partkey, 'value', case when value = 1.5 then '1.5' else forms[2] end, has_value, case when has_value then 'grounded' else 'real_failure' end from d"""
+)
+def ground_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _typed(spark, sf_dir, _METRIC_FACTS, ["subject", "value"])
+    return G.ground(facts, "market_metrics").select("p_partkey", "name", "expected", "found", "category")
+
+
 @query(_GROUND + " select * from checks")
 def ground_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.ground(facts_cited(spark, sf_dir), "programs").select("p_partkey", "name", "expected", "found", "category")
