@@ -51,14 +51,18 @@ def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-def canonical_set_match(a: Column, b: Column, least: float = MATCH) -> Column:
-    """As ``token_set_match``, for terms that are canonical already; pairs that are equal or whose words contain one
-    another are settled before the UDF sees the rest (as empty strings, which cost nothing)."""
+def set_match_settled(a: Column, b: Column, least: float = MATCH) -> tuple[Column, Column]:
+    """Of two canonical terms, whether they match as ``token_set_match`` for sure, and whether they cannot: equal terms and terms whose
+    words contain one another match; without a shared word a ratio is at most twice the shorter length over both."""
     x, y = F.split(a, " "), F.split(b, " ")
     inside = (a != "") & (b != "") & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
-    sure = (a == b) | inside
-    rest = lambda c: F.when(sure, "").otherwise(c)
-    return sure | (_token_set(rest(a), rest(b)) >= least)
+    low, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
+    return (a == b) | inside, ~F.arrays_overlap(x, y) & (2 * low < least * both)
+
+
+def canonical_set_similarity(a: Column, b: Column) -> Column:
+    """As ``token_set_similarity``, for terms that are canonical already."""
+    return _token_set(a, b)
 
 
 def similarity(a: Column, b: Column) -> Column:

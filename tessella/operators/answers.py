@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.similarity import canonical_set_match
+from tessella.functions.similarity import MATCH, canonical_set_similarity, set_match_settled
 from tessella.functions.text import canonical_term
 from tessella.functions.values import classify, value_match
+from tessella.session import checkpoint
+
+#: So many pairs of similar terms are broadcast; more are joined by a shuffle.
+SMALL = 100_000
 
 
 def resolve_citations(claims: DataFrame, evidence: DataFrame, strict: bool = True) -> DataFrame:
@@ -43,8 +47,18 @@ def matched_claims(claims: DataFrame, refs: DataFrame) -> DataFrame:
     term = lambda c: canonical_term(F.col(c))  # noqa: E731  once for each row, not for each pair
     a = claims.select("question_id", "claim", term("subject").alias("s"), term("attribute").alias("a"), classify(F.col("value")).alias("v"), "citations")
     b = refs.select("question_id", "ref", term("subject").alias("rs"), term("attribute").alias("ra"), classify(F.col("value")).alias("rv"), "spans")
-    pairs = a.join(b, "question_id").where(canonical_set_match(F.col("s"), F.col("rs"))).where(canonical_set_match(F.col("a"), F.col("ra")))
-    return pairs.select("question_id", "claim", "ref", "citations", "spans", value_match(F.col("v"), F.col("rv")).alias("right"))
+    pairs = a.join(b, "question_id")
+    settled = {x: set_match_settled(F.col(x), F.col(y)) for x, y in (("s", "rs"), ("a", "ra"))}
+    pairs = pairs.where(~settled["s"][1] & ~settled["a"][1])
+    pairs = checkpoint(pairs.withColumns({f"{x}_sure": sure for x, (sure, _) in settled.items()}))
+    # the ratio is computed once for each pair of terms that words alone do not settle
+    open_ = pairs.where("not s_sure").select(F.col("s").alias("x"), F.col("rs").alias("y")).unionByName(pairs.where("not a_sure").select(F.col("a").alias("x"), F.col("ra").alias("y")))
+    near = checkpoint(open_.distinct().where(canonical_set_similarity(F.col("x"), F.col("y")) >= MATCH))
+    near = F.broadcast(near) if near.count() <= SMALL else near
+    for x, y in (("s", "rs"), ("a", "ra")):
+        same = near.select(F.col("x").alias(x), F.col("y").alias(y), F.lit(True).alias(f"{x}_near"))
+        pairs = pairs.join(same, [x, y], "left").where(F.col(f"{x}_sure") | F.coalesce(f"{x}_near", F.lit(False)))
+    return checkpoint(pairs.select("question_id", "claim", "ref", "citations", "spans", value_match(F.col("v"), F.col("rv")).alias("right")))
 
 
 def score_answers(answers: DataFrame, claims: DataFrame, refs: DataFrame, questions: DataFrame) -> DataFrame:

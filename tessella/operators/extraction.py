@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella import schemas
 from tessella.functions.text import slug
+from tessella.session import checkpoint
 
 SNIPPET = 600
 
@@ -40,9 +41,9 @@ def map_payloads(chunks: DataFrame, payload: str = "payload") -> dict[str, DataF
     """The five tables by name, each with ``document_id, chunk_index, ordinal`` and the entity's columns.
 
     ``chunks``: document_id, chunk_index, section_path, line_range, text, source_company, as_of_date and the payload as JSON. Facts stay in
-    chunk order by their ordinals and are not deduplicated; assets without any identifier are dropped.
+    chunk order by their ordinals and are not deduplicated; assets without any identifier are dropped. Payloads are parsed once for all tables.
     """
-    rows = chunks.withColumn("x", F.from_json(payload, schemas.PAYLOAD))
+    rows = checkpoint(chunks.withColumn("x", F.from_json(payload, schemas.PAYLOAD)).drop(payload))
 
     def each(name: str) -> DataFrame:
         return rows.select("*", F.posexplode(f"x.{name}").alias("ordinal", "f"))

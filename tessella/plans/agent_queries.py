@@ -68,9 +68,23 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.count_by_type(X.map_payloads(payload_chunks(spark, sf_dir)))
 
 
-@query()
+_LINES = "length(substr(text, 1, {0})) - length(replace(substr(text, 1, {0}), chr(10), '')) + 1"
+
+
+@query(
+    "with " + _CHUNKS.replace("select doc_id, win, substr", "select doc_id, win, text, least(win * 1300 + 1500, length(text)) as e, substr") + f""",
+    a as (select doc_id::varchar as d, win, case when win % 3 = 0 then {_slug('w1')} else {_slug('w2')} end as id, case when win % 3 = 0 then w1 else '  ' || w2 end as tokens from c
+      where (win % 3 = 0 and trim(w1) <> '') or (win % 3 = 1 and trim(w2) <> '')),
+    names as (select id, tokens from a qualify row_number() over (partition by id order by d desc, win desc) = 1),
+    u as (select 'program' as kind, c.*, concat_ws(' | ', coalesce(nullif(tokens, ''), {_slug('trim(w1)')}), nullif(w2, ''), 'US', 'P2', 'oncology') as unit from c left join names on id = {_slug('trim(w1)')}
+      union all select 'market_metric', c.*, concat_ws(' | ', nullif(coalesce(nullif(tokens, ''), w1), ''), 'revenue', 'Global', length(t) || '.0 USD') from c left join names on id = w1)
+    select kind, doc_id::varchar as document_id, win::bigint as chunk_index, ({_LINES.format('(win * 1300)::bigint')})::bigint as start_line,
+      ({_LINES.format('greatest(e - 1, win * 1300)::bigint')})::bigint as end_line, md5(unit) as text_md5 from u"""
+)
 def entity_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.serialize_facts(X.map_payloads(payload_chunks(spark, sf_dir)))
+    units = X.serialize_facts(X.map_payloads(payload_chunks(spark, sf_dir)))
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    return units.select("kind", "document_id", long("chunk_index", "chunk_index"), long("start", "start_line"), long("end", "end_line"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 _VERDICTS = """v as (select user_id as question_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, event_id,

@@ -42,8 +42,37 @@ def read_artifacts(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str,
     return rows.select("schema_version", "meta", "counts"), tables
 
 
+def write_artifacts(tables: dict[str, DataFrame], meta: dict[str, str], path: str) -> None:
+    """One folder ``document_id=...`` under ``path`` for each document, with its JSON artifact; a task holds one document's entities.
+
+    ``tables`` carry ``document_id``, ``chunk_index`` and ``ordinal``, by which entities are ordered and which are not written.
+    """
+    every = None
+    for name, rows in tables.items():
+        entity = F.struct(*[c for c in rows.columns if c not in ("document_id", "chunk_index", "ordinal")])
+        one = rows.select("document_id", F.lit(name).alias("name"), F.struct("chunk_index", "ordinal", F.to_json(entity).alias("e")).alias("x"))
+        every = one if every is None else every.unionByName(one)
+    items = F.array_sort(F.collect_list("x")).alias("x")
+    held = every.groupBy("document_id", "name").agg(F.transform(items, lambda x: x["e"]).alias("items"))
+    found = held.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "items"))).alias("m"))
+    _artifact(found, list(tables), meta, "document_id").write.partitionBy("document_id").mode("overwrite").text(path)
+
+
+def _artifact(found: DataFrame, names: list[str], meta: dict[str, str], *own: str) -> DataFrame:
+    """``own`` columns and ``value``, the artifact's text, of rows with ``m``, each table's entities as JSON by its name."""
+    of = lambda n: F.coalesce(F.col("m")[n], F.array().cast("array<string>"))
+    listed = lambda n: F.concat(F.lit(f'"{n}": ['), F.array_join(of(n), ", "), F.lit("]"))
+    head = json.dumps({"schema_version": VERSION, "meta": meta}, ensure_ascii=False)[:-1]
+    counts = F.to_json(F.create_map(*[x for n in names for x in (F.lit(n), F.size(of(n)))]))
+    text = F.concat(F.lit(head + ', "counts": '), counts, F.lit(', "result": {'), F.concat_ws(", ", *[listed(n) for n in names]), F.lit("}}"))
+    return found.select(*own, text.alias("value"))
+
+
 def write_artifact(tables: dict[str, DataFrame], meta: dict[str, str], path: str) -> None:
-    """The tables of one document as one JSON artifact, for exchange; larger sets of tables are written as Parquet."""
+    """The tables of one document as one JSON artifact, for exchange; several documents are refused (see ``write_artifacts``)."""
+    for rows in tables.values():
+        if "document_id" in rows.columns and rows.select("document_id").distinct().limit(2).count() > 1:
+            raise ValueError("these tables hold several documents")
     named = None
     for name, rows in tables.items():
         order = [c for c in ("document_id", "chunk_index", "ordinal") if c in rows.columns]
@@ -52,11 +81,7 @@ def write_artifact(tables: dict[str, DataFrame], meta: dict[str, str], path: str
         one = rows.agg(F.transform(items, lambda x: x["e"]).alias("items")).select(F.lit(name).alias("name"), "items")
         named = one if named is None else named.unionByName(one)
     found = named.agg(F.map_from_entries(F.collect_list(F.struct("name", "items"))).alias("m"))
-    listed = lambda n: F.concat(F.lit(f'"{n}": ['), F.array_join(F.col("m")[n], ", "), F.lit("]"))
-    head = json.dumps({"schema_version": VERSION, "meta": meta}, ensure_ascii=False)[:-1]
-    counts = F.to_json(F.create_map(*[x for n in tables for x in (F.lit(n), F.size(F.col("m")[n]))]))
-    text = F.concat(F.lit(head + ', "counts": '), counts, F.lit(', "result": {'), F.concat_ws(", ", *[listed(n) for n in tables]), F.lit("}}"))
-    found.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    _artifact(found, list(tables), meta).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
