@@ -63,11 +63,16 @@ def bm25(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     short = every.where(F.col("above") < k)
     # the lowest units are enough: of each query they lose only those that have a negative score
     spare = short.agg(F.max("below")).first()[0] or 0
-    lowest = F.broadcast(units.select("unit_id").orderBy("unit_id").limit(k + spare))
-    zeros = short.select("query_id").join(lowest).join(scores.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti")
+    zeros = short.select("query_id", _lowest(units, k + spare)).join(scores.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti")
     return ranked(scores.unionByName(zeros.withColumn("score", F.lit(0.0))), k)
 
 
+def _lowest(units: DataFrame, n: int) -> Column:
+    """The n least units, for each row: a literal list, as n is a rank asked for and some."""
+    ids = [r["unit_id"] for r in units.select("unit_id").orderBy("unit_id").limit(n).collect()]
+    return F.explode(F.array(*map(F.lit, ids)).cast(f"array<{dict(units.dtypes)['unit_id']}>")).alias("unit_id")
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Adds each row's number from 1 within ``by``, however many rows a group has.
 
@@ -98,8 +103,7 @@ class Lexical:
     def top(self, k: int) -> DataFrame:
         """The first k units of each query: ``query_id, unit_id, rank``."""
         spare = self.sizes.agg(F.max(F.when(F.col("above") < k, F.col("held")))).first()[0] or 0
-        lowest = F.broadcast(self.units.orderBy("unit_id").limit(k + spare))
-        short = self.sizes.where(F.col("above") < k).select("query_id").join(lowest)
+        short = self.sizes.where(F.col("above") < k).select("query_id", _lowest(self.units, k + spare))
         return self.ranks(short).unionByName(self.held).distinct().where(F.col("rank") <= k)
 
     def ranks(self, pairs: DataFrame) -> DataFrame:
