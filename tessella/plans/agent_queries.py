@@ -10,12 +10,12 @@ from tessella.operators import answers as S
 from tessella.operators import extraction as X
 from tessella.operators.chunking import windows
 from tessella.plans.registry import query
-from tessella.session import table
+from tessella.session import spread, table
 
 
 def payload_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk windows of the documents with a payload made from their first words, as a model would return it."""
-    w = windows(table(spark, sf_dir, "documents"))
+    w = windows(spread(table(spark, sf_dir, "documents")))
     words = F.split("text", " ")
     first, second = F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
     quote = F.when(F.col("window") % 2 == 0, F.concat_ws(" ", first, second)).otherwise("not in the text at all")

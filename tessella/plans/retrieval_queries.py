@@ -15,11 +15,11 @@ from tessella.functions import text as T
 from tessella.operators import recall as S
 from tessella.operators import retrieval as R
 from tessella.plans.registry import query
-from tessella.session import checkpoint, table
+from tessella.session import checkpoint, spread, table
 
 
 def units_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("unit_id"), "text")
+    return spread(table(spark, sf_dir, "documents")).where("text is not null").select(F.col("doc_id").alias("unit_id"), "text")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +269,7 @@ def leg_rank_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'))[1:160] as snippet from documents where text is not null")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", R.snippet(F.col("text"), 160).alias("snippet"))
+    return spread(table(spark, sf_dir, "documents")).where("text is not null").select("doc_id", R.snippet(F.col("text"), 160).alias("snippet"))
 
 
 @query(

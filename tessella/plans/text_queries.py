@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import chunking as C
 from tessella.plans.registry import query
-from tessella.session import table
+from tessella.session import spread, table
 
 _LINES = """lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no
   from documents where text is not null)"""
@@ -27,7 +27,7 @@ _SECTIONS = _HEADED + r""", marked as (select *, length(regexp_extract(trim(line
 
 def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents with injected headers."""
-    rows = C.lines(table(spark, sf_dir, "documents").where("text is not null"))
+    rows = C.lines(spread(table(spark, sf_dir, "documents")).where("text is not null"))
     n = F.col("line_no")
     mark = F.when(n % 7 == 1, "# ").when(n % 7 == 4, "## ").when(n % 11 == 5, "### ").otherwise("")
     return rows.withColumn("line", F.concat(mark, "line"))
@@ -39,7 +39,7 @@ def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirty = F.concat(F.lit("﻿"), F.regexp_replace("text", "\n", " \t\r\n"), F.lit("\r"))
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = spread(table(spark, sf_dir, "documents")).where("text is not null")
     clean = docs.select("doc_id", T.normalize_lines(dirty).alias("t"))
     body = F.regexp_replace("t", "\n$", "")  # the injected last CR
     return clean.select("doc_id", F.size(F.split(body, "\n", -1)).cast("long").alias("n_lines"), F.md5(body.cast("binary")).alias("text_md5"))
@@ -67,7 +67,7 @@ def infer_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.when(i % 3 == 0, F.concat(F.lit("doc-"), i, F.lit("_"), F.upper("lang"))).when(
         i % 3 == 1, F.concat(F.lit("doc_"), F.col("lang"), F.lit("-"), i)
     ).otherwise(F.concat(F.lit("doc_"), i, F.lit("-"), F.col("lang")))
-    return table(spark, sf_dir, "documents").select("doc_id", T.language_of(stem).alias("language"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.language_of(stem).alias("language"))
 
 
 @query("with " + _SECTIONS + " select * from sections")
@@ -125,7 +125,7 @@ _WINDOWS = """w as (select doc_id, text, unnest(range(case when length(text) <=
       md5(substr(text, (b + 1)::bigint, (e - b)::bigint)) as text_md5 from spans"""
 )
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = C.windows(table(spark, sf_dir, "documents"))
+    w = C.windows(spread(table(spark, sf_dir, "documents")))
     return w.select(
         "doc_id", F.col("window").cast("long").alias("win"), F.col("begin").cast("long").alias("begin_at"),
         F.col("finish").cast("long").alias("end_at"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
@@ -138,7 +138,7 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
       (length(substr(text, 1, greatest(e - 1, b)::bigint)) - length(replace(substr(text, 1, greatest(e - 1, b)::bigint), chr(10), '')) + 1)::bigint as end_line from spans"""
 )
 def chunk_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = C.windows(table(spark, sf_dir, "documents"))
+    w = C.windows(spread(table(spark, sf_dir, "documents")))
     return w.select("doc_id", F.col("window").cast("long").alias("win"), F.col("start").cast("long").alias("start_line"), F.col("end").cast("long").alias("end_line"))
 
 
@@ -169,7 +169,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) over (partition by doc_id order by win)::bigint as total_chunks from c"""
 )
 def running_chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = C.windows(table(spark, sf_dir, "documents"))
+    w = C.windows(spread(table(spark, sf_dir, "documents")))
     counts = w.select("doc_id", F.col("window").cast("long").alias("win"), (F.col("finish") - F.col("begin")).cast("long").alias("chars"), F.lit(1).cast("long").alias("chunks"))
     return C.running_totals(counts, "doc_id", "win", ["chars", "chunks"]).drop("chars", "chunks")
 
@@ -178,5 +178,5 @@ def running_chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select source, lang, count(*)::bigint as docs, sum(n_chars)::bigint as chars from documents group by rollup (source, lang)"
 )
 def rollup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.rollup("source", "lang").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))

@@ -33,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores if its files give fewer partitions than there are cores; larger inputs stay as they are.
+
+    For work on whole texts: a small file of one row group would be one task. The rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder, or a local one where none is named and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
