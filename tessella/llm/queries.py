@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import bpe, chat, language, licenses, media, mixing, packing, simhash, topk, toxicity
 from tessella.llm.common import fold
-from tessella.session import table
+from tessella.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,17 +23,17 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents")).drop("media")
+    return media.media_columns(spread(table(spark, sf_dir, "documents"))).drop("media")
 
 
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encode_digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = language.fit(docs, where=fold("doc_id", 5) != 0)
     rows = language.identify(docs, model)
     return rows.withColumn("held_out", fold("doc_id", 5) == 0)
@@ -41,13 +41,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simhash.groups(table(spark, sf_dir, "documents"), shingle=4, words=1, radius=4)
+    rows = simhash.groups(spread(table(spark, sf_dir, "documents")), shingle=4, words=1, radius=4)
     return rows.select("doc_id", simhash.hex_of(rows["fp"]).alias("fingerprint"), "component_id")
 
 
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=fold("doc_id", 3) != 1)
     return toxicity.score(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
 
@@ -58,7 +58,7 @@ MIX_TOTAL = 0.6
 
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), MIX_TOTAL)
+    return mixing.mix(spread(table(spark, sf_dir, "documents")), MIX_TOTAL)
 
 
 ORACLES["op5_mixing"] = mixing.oracle(MIX_TOTAL)
@@ -66,7 +66,7 @@ ORACLES["op5_mixing"] = mixing.oracle(MIX_TOTAL)
 
 @query
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+    return licenses.scan_licenses(spread(table(spark, sf_dir, "documents"))).drop("matches")
 
 
 @query
@@ -121,6 +121,6 @@ select query_id, rank, vec_id, score from (
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_texts(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
     return packed.withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
