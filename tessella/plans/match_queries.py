@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from tessella.operators import matching as M
 from tessella.operators.components import connected_components
 from tessella.plans.registry import query
-from tessella.session import table
+from tessella.session import spread, table
 
 
 @query(
-    """with recursive l as (select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where length(line) >= 40),
-    docs as (select distinct doc_id from l), first as (select line, min(doc_id) as lo from l group by line having count(*) > 1),
+    """with recursive l as (select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where trim(line) <> ''),
+    docs as (select distinct doc_id from documents), first as (select line, min(doc_id) as lo from l group by line having count(*) > 1),
     e0 as (select distinct lo as u, doc_id as v from l join first using (line) where lo <> doc_id), e as (select u, v from e0 union select v, u from e0),
     r as (select doc_id as node, doc_id as seen from docs union select r.node, e.v from r join e on r.seen = e.u)
     select node as doc_id, min(seen) as root from r group by node"""
 )
 def identifier_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share any line of 40 characters or more, directly or through others."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 40)
-    rows = docs.select("doc_id", F.sha2("line", 256).alias("id")).distinct()
+    """Documents that share any line that is not blank, directly or through others; every document has its root."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    rows = lines.select("doc_id", F.sha2("line", 256).alias("id")).distinct()
     first = rows.groupBy("id").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")).where("n > 1").drop("n")
     roots = connected_components(rows.join(first, "id").select(F.col("lo").alias("a"), F.col("doc_id").alias("b")))
-    every = rows.select("doc_id").distinct()
+    every = docs.select("doc_id").distinct()
     return every.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
 
 
