@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_LIBC = ctypes.CDLL(name) if (name := ctypes.util.find_library("c")) else None
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, in any letter case."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"
@@ -32,6 +37,13 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, SLICE_ROWS)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system at a task's end: the worker process lives on for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """One output row for each row of ``df``, in Arrow batches.
 
@@ -51,6 +63,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, type=field.type) for values, field in zip(zip(*made), arrow)], schema=arrow
                 )
+        tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -64,5 +77,6 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[str | Non
         for batch in batches:
             kept = [bool(test(x)) for part in slices(batch) for x in part.column(at).to_pylist()]
             yield batch.filter(pa.array(kept, type=pa.bool_()))
+        tidy()
 
     return df.mapInArrow(run, df.schema)
