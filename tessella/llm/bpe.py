@@ -25,9 +25,13 @@ from pyspark.sql import functions as F
 from tessella.llm.common import map_rows
 
 MAX_FILE_BYTES = 64 << 20
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
+#: Of runs a worker remembers one for so many words: most runs differ by punctuation only, and a word costs more to encode.
+RUNS_PART = 2
 #: Longer runs and words are not remembered.
 REMEMBERED = 48
+#: Bits of a symbol's id in a pair's key.
+PAIR = 32
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -62,10 +66,12 @@ class Bpe:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.decimals = {i: str(i) for i in self.strings}
+        #: Left symbol << PAIR | right symbol -> (rank, merged symbol).
+        self.merges: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.merges[self.vocab[a] << PAIR | self.vocab[b]] = (rank, self.vocab[a + b])
         symbols = byte_symbols()
         self.inner = [self.vocab.get(c, -1) for c in symbols]
         self.last = [self.vocab.get(c + self.suffix, -1) for c in symbols]
@@ -94,29 +100,31 @@ class Bpe:
     def merge(self, word: str) -> list[int]:
         """The ids of one word: merges by rank from a priority queue over a doubly linked list of symbols."""
         raw = word.encode("utf-8", "surrogatepass")
-        symbols = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        symbols = [s for s in symbols if s >= 0]
-        n, merges = len(symbols), self.merges
+        inner, find, pop, push = self.inner, self.merges.get, heapq.heappop, heapq.heappush
+        symbols = [inner[b] for b in raw[:-1]]
+        symbols.append(self.last[raw[-1]])
+        if -1 in symbols:
+            symbols = [s for s in symbols if s >= 0]
+        n = len(symbols)
+        queue = [(m[0], i, m[1]) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (m := find(a << PAIR | b))]
+        if not queue:
+            return symbols
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = []
-        for i in range(n - 1):
-            if m := merges.get((symbols[i], symbols[i + 1])):
-                queue.append((m[0], i, m[1]))
         heapq.heapify(queue)
         while queue:
-            rank, i, made = heapq.heappop(queue)
-            j = after[i] if symbols[i] >= 0 else -1
-            if j < 0 or merges.get((symbols[i], symbols[j]), (-1,))[0] != rank:
+            rank, i, made = pop(queue)
+            left, j = symbols[i], after[i]
+            if left < 0 or j < 0 or (m := find(left << PAIR | symbols[j])) is None or m[0] != rank:
                 continue  # stale: the left symbol went into another, or its neighbour changed
             symbols[i], symbols[j] = made, -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if m := merges.get((made, symbols[k])):
-                    heapq.heappush(queue, (m[0], i, m[1]))
+                if m := find(made << PAIR | symbols[k]):
+                    push(queue, (m[0], i, m[1]))
             h = before[i]
-            if h >= 0 and (m := merges.get((symbols[h], made))):
-                heapq.heappush(queue, (m[0], h, m[1]))
+            if h >= 0 and (m := find(symbols[h] << PAIR | made)):
+                push(queue, (m[0], h, m[1]))
         return [s for s in symbols if s >= 0]
 
     def parts(self, text: str | None) -> list[str]:
@@ -161,10 +169,10 @@ class _Seen(dict):
 
     def __init__(self, bpe: Bpe, most: int):
         super().__init__()
-        self.bpe, self.most, self.known = bpe, most, {}
+        self.bpe, self.most, self.runs, self.known = bpe, most, max(1, most // RUNS_PART), {}
 
     def _forms(self, ids: list[int]) -> tuple[str, str]:
-        return " ".join(map(str, ids)), self.bpe.decode(ids)
+        return " ".join([self.bpe.decimals[i] for i in ids]), self.bpe.decode(ids)
 
     def word(self, word: str) -> tuple[str, str]:
         if len(word) > REMEMBERED:
@@ -186,9 +194,9 @@ class _Seen(dict):
                 out = self.word(text)
             else:
                 found = [x for w in bpe.words(text) if (x := self.word(w))[0]]
-                out = (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
+                out = found[0] if len(found) == 1 else (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
         if len(run) <= REMEMBERED:
-            if len(self) >= self.most:
+            if len(self) >= self.runs:
                 self.clear()
             self[run] = out
         return out
