@@ -20,6 +20,8 @@ from tessella.session import checkpoint_dir, remove, table
 MIN_LETTERS, MIN_SCORE = 40, 0.08
 #: Of the tokens that reach the mixing stage, the part that the mix is to hold; each document at most once.
 MIX_TOTAL = 0.9
+#: Words that a worker remembers: it lives on for other stages, so fewer than where BPE is all it does.
+CACHE_WORDS = 80_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +86,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every document; null and empty texts have none, null ids and repeated rows stay."""
-    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json")).drop("decoded")
+    return bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=CACHE_WORDS).drop("decoded")
 
 
 STAGES = [
