@@ -2,11 +2,14 @@
 
 Facts are rows with ``doc_id``, an ordinal ``n`` (document order), ``slugs`` (all identifiers of the fact's asset clusters) and the
 columns of their type. Candidates come from an equi-join on the document and the closed fields; only survivors reach the similarity
-UDF. Pairing folds one document's candidate list, so a task holds one document's pairs at most.
+UDF. Pairing reads one document's candidates in order, so a task holds one document's taken facts at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,17 +92,29 @@ def candidates(predicted: DataFrame, golden: DataFrame, kind: str) -> DataFrame:
 
 
 def greedy_pairs(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One-to-one pairs: golden facts in order, each takes the first candidate that is still free."""
-    by = by or ["doc_id"]
-    rows = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("g", "p"))).alias("x"))
-    start = F.array().cast("array<struct<g: bigint, p: bigint>>")
-    long = lambda x: F.struct(x["g"].cast("long").alias("g"), x["p"].cast("long").alias("p"))
-
-    def step(acc: Column, x: Column) -> Column:
-        taken = F.exists(acc, lambda a: (a["g"] == x["g"]) | (a["p"] == x["p"]))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(long(x))))
+    """One-to-one pairs: golden facts in order, each takes the first candidate that is still free.
 
-    return rows.select(*by, F.explode(F.aggregate("x", start, step)).alias("m")).select(*by, "m.g", "m.p")
+    One pass over each group's pairs, sorted by ``g`` and ``p``; a task remembers the taken predictions of one group.
+    """
+    by = by or ["doc_id"]
+    rows = pairs.select(*by, F.col("g").cast("long").alias("g"), F.col("p").cast("long").alias("p"))
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "g", "p")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, done, taken = None, None, set()
+        for batch in batches:
+            kept = []
+            groups = zip(*[batch.column(c).to_pylist() for c in by])
+            for i, (own, g, p) in enumerate(zip(groups, batch.column("g").to_pylist(), batch.column("p").to_pylist())):
+                if own != group:
+                    group, done, taken = own, None, set()
+                if g != done and p not in taken:
+                    done = g
+                    taken.add(p)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return dealt.mapInArrow(settle, rows.schema)
 
 
 def significant(text: Column) -> Column:

@@ -54,6 +54,16 @@ def test_greedy_against_model(spark):
                 used.add(free[0])
                 want.add((d, g, free[0]))
     assert {tuple(r) for r in M.greedy_pairs(df).collect()} == want
+    split = df.selectExpr("cast(doc_id div 2 as string) as a", "doc_id % 2 as b", "cast(g as int) as g", "cast(p as int) as p")
+    assert {(2 * int(a) + b, g, p) for a, b, g, p in M.greedy_pairs(split, ["a", "b"]).collect()} == want
+    assert M.greedy_pairs(df.limit(0)).count() == 0
+
+
+def test_greedy_pairs_of_one_large_document(spark):
+    n = 100_000  # every golden fact has its own candidate and its forerunner's, which is taken already
+    df = spark.range(n).selectExpr("1L as doc_id", "id as g", "explode(array(greatest(id - 1, 0L), id)) as p").distinct()
+    found = M.greedy_pairs(df)
+    assert found.where("g = p").count() == found.count() == n
 
 
 def test_trial_keys(spark):
