@@ -73,13 +73,13 @@ def _lowest(units: DataFrame, n: int) -> Column:
     return F.explode(F.array(*map(F.lit, ids)).cast(f"array<{dict(units.dtypes)['unit_id']}>")).alias("unit_id")
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds each row's number from 1 within ``by``, however many rows a group has.
+def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank", held: bool = False) -> DataFrame:
+    """Adds each row's number from 1 within ``by``, however many rows a group has; ``held`` rows are a checkpointed table already.
 
     Rows are dealt out by ranges of group and order, numbered within each part, and each part adds what stands before it: a
     table of a row for each group and part.
     """
-    placed = checkpoint(checkpoint(rows).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("__part", F.spark_partition_id()))
+    placed = checkpoint((rows if held else checkpoint(rows)).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("__part", F.spark_partition_id()))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
     offsets = counts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -96,7 +96,7 @@ class Lexical:
         sizes = scores.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count("*").alias("held"))
         self.sizes = checkpoint(queries.select("query_id").distinct().join(sizes, "query_id", "left").fillna(0, ["above", "held"]))
         n = self.units.count()
-        ranks = numbered(scores, ["query_id"], [F.desc("score"), F.col("unit_id")], "own").join(self.sizes, "query_id")
+        ranks = numbered(scores, ["query_id"], [F.desc("score"), F.col("unit_id")], "own", held=True).join(self.sizes, "query_id")
         rank = F.when(F.col("score") > 0, F.col("own")).otherwise(F.col("own") + n - F.col("held"))
         self.held = checkpoint(ranks.select("query_id", "unit_id", rank.alias("rank")))
 
@@ -248,8 +248,8 @@ def rrf(lists: list[DataFrame], k_rrf: int = K_RRF, k: int | None = None) -> Dat
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("seen")
 
 
-def span_rrf(legs: DataFrame, k_rrf: int = K_RRF) -> DataFrame:
-    """Fuses legs by span: ``query_id, doc_id, start, end, score, unit_id, rank``.
+def span_rrf(legs: DataFrame, k: int, k_rrf: int = K_RRF) -> DataFrame:
+    """Fuses legs by span and keeps the first k: ``query_id, doc_id, start, end, score, unit_id, rank``.
 
     ``legs``: query_id, leg, rank, unit_id, doc_id, start, end. A leg counts once for a span, with its best rank over all
     its units; the representative is the first unit seen, by leg and rank.
@@ -261,14 +261,15 @@ def span_rrf(legs: DataFrame, k_rrf: int = K_RRF) -> DataFrame:
         F.min(F.struct("leg", F.col("best.rank").alias("rank"), F.col("best.unit_id").alias("unit_id"))).alias("seen"),
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "seen.leg", "seen.rank")
-    return fused.withColumn("rank", F.row_number().over(order)).select(*span, "score", F.col("seen.unit_id").alias("unit_id"), "rank")
+    first = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return first.select(*span, "score", F.col("seen.unit_id").alias("unit_id"), "rank")
 
 
-def naive_rrf(legs: DataFrame, k_rrf: int = K_RRF) -> DataFrame:
-    """The baseline fusion: every unit keeps its own 1 / (k_rrf + rank); ties go to the earlier leg."""
+def naive_rrf(legs: DataFrame, k: int, k_rrf: int = K_RRF) -> DataFrame:
+    """The baseline fusion, its first k: every unit keeps its own 1 / (k_rrf + rank); ties go to the earlier leg."""
     scored = legs.withColumn("score", F.round(1.0 / (k_rrf + F.col("rank")), 12))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "leg", "rank")
-    return scored.withColumn("fused_rank", F.row_number().over(order))
+    return scored.withColumn("fused_rank", F.row_number().over(order)).where(F.col("fused_rank") <= k)
 
 
 def corpus_union(first: DataFrame, second: DataFrame, k: int = 10) -> DataFrame:

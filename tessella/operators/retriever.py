@@ -47,7 +47,7 @@ def corpus_retrieve(chunks: Leg, entities: Leg, queries: DataFrame, k: int = DEP
     cols = ["query_id", "unit_id", *SPAN, "rank"]
     legs = c.select(F.lit(0).alias("leg"), *cols).unionByName(e.select(F.lit(1).alias("leg"), *cols))
     own = c.select("query_id", *SPAN, F.lit(0).alias("leg"), "rank", "text").unionByName(e.select("query_id", *SPAN, F.lit(1).alias("leg"), "rank", "text"))
-    fused = R.span_rrf(legs).where(F.col("rank") <= k)
+    fused = R.span_rrf(legs, k)
     kept = R.corpus_union(c.select("query_id", *SPAN, "rank"), fused.select("query_id", *SPAN, "rank"), k)
     # of chunks at one span the last in rank gives the text, as it does where spans are looked up by key
     text = F.coalesce(F.max_by(F.when(F.col("leg") == 0, F.col("text")), F.when(F.col("leg") == 0, F.col("rank"))), F.min_by("text", "rank"))

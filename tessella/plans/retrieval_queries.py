@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import recall as S
 from tessella.operators import retrieval as R
+from tessella.operators.retriever import Leg, corpus_retriever
+from tessella.operators.retriever import corpus_retrieve as retrieve_corpus
 from tessella.plans.registry import query
 from tessella.session import checkpoint, spread, table
 
@@ -26,28 +28,39 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("query_id"), "text")
 
 
-_TOKENS = r"tok as (select doc_id as unit_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-/()]*')) as token from documents where text is not null)"
-_BM25 = _TOKENS + r""", tf as (select unit_id, token, count(*) as tf from tok group by all), sz as (select unit_id, sum(tf) as size from tf group by 1),
-  n as (select count(*) as n from documents where text is not null), mean as (select (select sum(size) from sz) / n as m from n),
-  df as (select token, count(*) as df from tf group by 1), raw as (select token, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, n),
-  idf as (select token, df, case when raw < 0 then 0.25 * (select avg(raw) from raw) else raw end as idf from raw),
-  qt as (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-/()]*')) as token from benchmark where text is not null),
-  q as (select query_id, token, count(*) as qn from qt group by all),
-  hit as (select query_id, tf.unit_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / m))), 9) as score
-    from q join idf using (token) join tf using (token) join sz using (unit_id), mean group by all),
-  bm as (select b.item_id as query_id, d.doc_id as unit_id, coalesce(hit.score, 0) as score from benchmark b join documents d on b.text is not null and d.text is not null
-    left join hit on hit.query_id = b.item_id and hit.unit_id = d.doc_id),
-  bm25 as (select *, row_number() over (partition by query_id order by score desc, unit_id) as rank from bm)"""
-_DENSE = """e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
-  cs as (select q.vec_id as query_id, u.vec_id as unit_id, round(list_cosine_similarity(u.v, q.v), 9) as score
-    from e q join e u on q.vec_id in (select item_id from benchmark) and u.vec_id in (select doc_id from documents where text is not null)),
-  dense as (select *, row_number() over (partition by query_id order by score desc, unit_id) as rank from cs)"""
+def _lexical(units: str, p: str = "") -> str:
+    """CTEs, their names begun with ``p``, up to ``bm25``: the lexical ranking of all ``units`` (a query of unit_id, text) for the passages."""
+    return rf"""{p}tok as (select unit_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-/()]*')) as token from ({units})),
+  {p}tf as (select unit_id, token, count(*) as tf from {p}tok group by all), {p}sz as (select unit_id, sum(tf) as size from {p}tf group by 1),
+  {p}n as (select count(*) as n from ({units})), {p}mean as (select (select sum(size) from {p}sz) / n as m from {p}n),
+  {p}df as (select token, count(*) as df from {p}tf group by 1), {p}raw as (select token, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from {p}df, {p}n),
+  {p}idf as (select token, df, case when raw < 0 then 0.25 * (select avg(raw) from {p}raw) else raw end as idf from {p}raw),
+  {p}qt as (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-/()]*')) as token from benchmark where text is not null),
+  {p}q as (select query_id, token, count(*) as qn from {p}qt group by all),
+  {p}hit as (select query_id, t.unit_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / m))), 9) as score
+    from {p}q join {p}idf using (token) join {p}tf t using (token) join {p}sz using (unit_id), {p}mean group by all),
+  {p}bm as (select b.item_id as query_id, u.unit_id, coalesce(h.score, 0) as score from benchmark b join ({units}) u on b.text is not null
+    left join {p}hit h on h.query_id = b.item_id and h.unit_id = u.unit_id),
+  {p}bm25 as (select *, row_number() over (partition by query_id order by score desc, unit_id) as rank from {p}bm)"""
+
+
+def _dense(units: str, p: str = "") -> str:
+    """The same up to ``dense``: the ranking by cosine of the units that have a vector."""
+    return f"""{p}e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+  {p}cs as (select a.vec_id as query_id, u.vec_id as unit_id, round(list_cosine_similarity(u.v, a.v), 9) as score
+    from {p}e a join {p}e u on a.vec_id in (select item_id from benchmark) and u.vec_id in (select unit_id from ({units}))),
+  {p}dense as (select *, row_number() over (partition by query_id order by score desc, unit_id) as rank from {p}cs)"""
+
+
+_DOCUMENTS = "select doc_id as unit_id, text from documents where text is not null"
+_PASSAGES = "select item_id as unit_id, text from benchmark where text is not null"
+_BM25, _DENSE = _lexical(_DOCUMENTS), _dense(_DOCUMENTS)
 _FUSED = "with " + _BM25 + ", " + _DENSE + """,
   legs as (select 0 as leg, query_id, unit_id, rank from dense union all select 1, query_id, unit_id, rank from bm25)"""
 _SPANS = _FUSED + """, spanned as (select *, unit_id // 3 as doc_id, (unit_id % 3) // 2 * 10 + 1 as start_line, (unit_id % 3) // 2 * 10 + 10 as end_line from legs)"""
 
 
-@query("with " + _TOKENS + " select token, count(*)::bigint as n, count(distinct unit_id)::bigint as units from tok group by token")
+@query("with " + _BM25 + " select token, count(*)::bigint as n, count(distinct unit_id)::bigint as units from tok group by token")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = R.term_counts(units_of(spark, sf_dir))
     return counts.groupBy("token").agg(F.sum("tf").alias("n"), F.count("*").alias("units"))
@@ -155,7 +168,7 @@ _SPAN_RRF = _SPANS + """, best as (select query_id, doc_id, start_line, end_line
 
 @query(_SPAN_RRF + " select query_id, doc_id, start_line, end_line, unit_id, round(score, 6) as score, rank::bigint as rank from span_ranked where rank <= 10")
 def span_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = R.span_rrf(span_legs(spark, sf_dir)).where("rank <= 10")
+    f = R.span_rrf(span_legs(spark, sf_dir), 10)
     return f.select(
         "query_id", "doc_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"), "unit_id",
         F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"),
@@ -167,7 +180,7 @@ def span_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     select query_id, leg::bigint as leg, unit_id, rank::bigint as rank, fused::bigint as fused_rank from r where fused <= 10"""
 )
 def naive_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = R.naive_rrf(with_span(Legs(spark, sf_dir).top(10))).where("fused_rank <= 10")
+    f = R.naive_rrf(with_span(Legs(spark, sf_dir).top(10)), 10)
     return f.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("leg", "unit_id", "rank", "fused_rank")])
 
 
@@ -180,7 +193,7 @@ _UNION = _SPAN_RRF + """, two as (select query_id, doc_id, start_line, end_line,
 def united(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = span_legs(spark, sf_dir)
     cols = ["query_id", "doc_id", "start", "end", "rank"]
-    return checkpoint(R.corpus_union(legs.where("leg = 0").select(*cols), R.span_rrf(legs).select(*cols)))
+    return checkpoint(R.corpus_union(legs.where("leg = 0").select(*cols), R.span_rrf(legs, 10).select(*cols)))
 
 
 @query(_UNION + " select query_id, doc_id, start_line, end_line, pos::bigint as pos from united")
@@ -188,6 +201,62 @@ def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return united(spark, sf_dir).select("query_id", "doc_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.col("pos").cast("long").alias("pos"))
 
 
+_RETRIEVED = (
+    "with " + _BM25 + ", " + _DENSE + ", " + _lexical(_PASSAGES, "f_") + ", " + _dense(_PASSAGES, "f_") + """,
+    listed as (select 0 as l, 0 as list, query_id, unit_id, rank from dense union all select 0, 1, query_id, unit_id, rank from bm25
+      union all select 1, 0, query_id, unit_id, rank from f_dense union all select 1, 1, query_id, unit_id, rank from f_bm25),
+    summed as (select l, query_id, unit_id, round(sum(1.0 / (60 + rank)), 12) as score, min(list * 1000000000 + rank) as seen from listed group by all),
+    placed as (select l, query_id, unit_id, unit_id // 3 as doc_id, (unit_id % 3) // 2 * 10 + 1 as start_line, (unit_id % 3) // 2 * 10 + 10 as end_line,
+      row_number() over (partition by l, query_id order by score desc, seen) as rank from summed),
+    first_ as (select query_id, doc_id, start_line, end_line, l, min(rank) as rank from placed group by all),
+    both_ as (select query_id, doc_id, start_line, end_line, round(sum(1.0 / (60 + rank)), 12) as score, min(l * 1000000000 + rank) as seen from first_ group by all),
+    spans as (select *, row_number() over (partition by query_id order by score desc, seen) as rank from both_),
+    two as (select query_id, doc_id, start_line, end_line, 0 as l, rank from placed where l = 0 and rank <= 10
+      union all select query_id, doc_id, start_line, end_line, 1, rank from spans where rank <= 10),
+    kept as (select * from two qualify row_number() over (partition by query_id, doc_id, start_line, end_line order by l, rank) = 1),
+    texts as (select query_id, p.doc_id, start_line, end_line, coalesce(arg_max(d.text, rank) filter (where l = 0), arg_min(b.text, rank) filter (where l = 1)) as text
+      from placed p left join documents d on l = 0 and d.doc_id = unit_id left join benchmark b on l = 1 and b.item_id = unit_id group by query_id, p.doc_id, start_line, end_line),
+    found as (select query_id, doc_id, start_line, end_line, row_number() over (partition by query_id order by l, rank) - 1 as pos, text
+      from kept join texts using (query_id, doc_id, start_line, end_line))"""
+)
+
+
+def corpus_legs(spark: SparkSession, sf_dir: str) -> tuple[Leg, Leg, DataFrame]:
+    """A leg over the documents, one over the passages (in the place of facts), and the passages with their vectors as queries."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"))
+    facts = passages(spark, sf_dir).withColumnRenamed("query_id", "unit_id").join(vectors, "unit_id", "left")
+    legs = [Leg(with_span(u)) for u in (units_of(spark, sf_dir).join(vectors, "unit_id", "left"), facts)]
+    return legs[0], legs[1], facts.withColumnRenamed("unit_id", "query_id")
+
+
+@query(_RETRIEVED + " select query_id, pos::bigint as pos, doc_id, start_line, end_line, md5(text) as text_md5 from found")
+def corpus_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, facts, asked = corpus_legs(spark, sf_dir)
+    return retrieve_corpus(chunks, facts, asked).select(
+        "query_id", F.col("pos").cast("long").alias("pos"), "doc_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.md5("text").alias("text_md5")
+    )
+
+
+@query(
+    _RETRIEVED + """, asked as (select item_id as question_id, 0 as sub, item_id as query_id from benchmark where text is not null
+      union all select item_id, 1, item_id + 1 from benchmark where text is not null and item_id + 1 in (select item_id from benchmark where text is not null)),
+    every_ as (select question_id, doc_id, start_line, end_line, sub, pos, text from asked join found using (query_id)),
+    once as (select * from every_ qualify row_number() over (partition by question_id, doc_id, start_line, end_line order by sub, pos) = 1)
+    select question_id, (row_number() over (partition by question_id order by sub, pos) - 1)::bigint as pos, doc_id, start_line, end_line, md5(text) as text_md5 from once"""
+)
+def question_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence for each question, which asks its passage and the next one."""
+    chunks, facts, asked = corpus_legs(spark, sf_dir)
+    own = asked.select(F.col("query_id").alias("question_id"), F.col("text").alias("own"))
+    after = asked.select((F.col("query_id") - 1).alias("question_id"), F.col("text").alias("next"))
+    plans = own.join(after, "question_id", "left").select("question_id", F.array_compact(F.array("own", "next")).alias("queries"))
+    known = asked.groupBy("text").agg(F.min_by("vector", "query_id").alias("vector"))
+    found = corpus_retriever(chunks, facts, lambda rows: rows.join(known, "text", "left"))(plans)
+    return found.select(
+        "question_id", F.col("pos").cast("long").alias("pos"), "doc_id", F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.md5("text").alias("text_md5")
+    )
+
+
 _GOLD = _UNION + """, gold as (select u.query_id, 1 + (u.query_id + d.k) % 5 as member, u.doc_id, 3 + d.k as a, 8 + 2 * d.k as b,
       case when d.k % 3 = 2 then 'resolution_limited' else 'clean' end as resolution, d.k as span_id,
       case u.query_id % 3 when 0 then 'single' when 1 then 'set-of-singles' else 'aggregate' end as construct, case when d.k % 2 = 0 then 'extracted' else 'mixed' end as slice
