@@ -60,6 +60,11 @@ def set_match_settled(a: Column, b: Column, least: float = MATCH) -> tuple[Colum
     return (a == b) | inside, ~F.arrays_overlap(x, y) & (2 * low < least * both)
 
 
+def canonical_similarity(a: Column, b: Column) -> Column:
+    """As ``similarity``, for terms that are canonical already."""
+    return _strict(a, b)
+
+
 def canonical_set_similarity(a: Column, b: Column) -> Column:
     """As ``token_set_similarity``, for terms that are canonical already."""
     return _token_set(a, b)
