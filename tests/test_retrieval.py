@@ -168,6 +168,20 @@ def test_corpus_tool_with_more_units_than_one_task_holds(spark, monkeypatch):
     check_corpus(spark, c, e, 3)
 
 
+def test_fan_out_makes_no_row_for_a_pair(spark, monkeypatch):
+    """A question's evidence is that of its sub-queries in turn, each span once."""
+    monkeypatch.setattr(R, "every_pair", pairs_forbidden)
+    chunks, entities = legs_of(300, 60)
+    known = spark.createDataFrame([(t, v) for _, t, v in QUERIES], "text string, vector array<double>")
+    retrieve = corpus_retriever(*(Leg(spark.createDataFrame(x, UNIT)) for x in (chunks, entities)), lambda rows: rows.join(known, "text", "left"), 4)
+    found = retrieve(spark.createDataFrame([("a", [QUERIES[2][1], QUERIES[0][1]])], "question_id string, queries array<string>")).collect()
+    want = {}
+    for _, text, vector in (QUERIES[2], QUERIES[0]):
+        for span, own in model_corpus(chunks, entities, text, vector, 4):
+            want.setdefault(span, own)
+    assert [((r.doc_id, r.start, r.end), r.text) for r in sorted(found, key=lambda r: r.pos)] == list(want.items())
+
+
 def test_numbered_spreads_a_group(spark):
     """One group of many rows is numbered in several parts."""
     rows = spark.range(5000).select(F.lit(1).alias("g"), F.col("id"), (F.col("id") * 7919 % 5003).alias("x"))
